@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import mixing, quality_rules, secret_scan, sentencepiece_codec, url_reputation
+from sluice.llm import license_scan, mixing, ngram_join, quality_gbt, quality_rules, secret_scan, sentencepiece_codec, url_reputation, va_topk
 from sluice.session import table
 
 #: Where the SentencePiece model lies.
@@ -23,6 +23,17 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License scan over all documents."""
+    found = license_scan.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "licenses", F.size("matches").cast("long").alias("n_licenses"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"))
+
+
+def op5_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality classifier over all documents."""
+    return quality_gbt.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secret scan over all documents."""
     return secret_scan.scan(table(spark, sf_dir, "documents"))
@@ -34,6 +45,11 @@ def op7_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.digest(sentencepiece_codec.encode(docs, sentencepiece_codec.read_model(MODEL_PATH)))
 
 
+def op8_va_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact top-k search over all embeddings; queries are the rows whose number is divisible by 20."""
+    return va_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL filter over all pages. The labelled outcomes are the rows of labels with the page's number: bad is quality 0."""
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
@@ -41,5 +57,29 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes)
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_quality_rules, op6_secret_scan, op7_sentencepiece, op9_url_reputation)}
-ORACLES: dict[str, str] = {}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard self-join of all documents."""
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op2_source_mix, op3_quality_rules, op4_license_scan, op5_quality_gbt, op6_secret_scan, op7_sentencepiece, op8_va_topk, op9_url_reputation, op10_ngram_join)}
+ORACLES: dict[str, str] = {
+    "op10_ngram_join": r"""
+        WITH RECURSIVE w AS (
+          SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+        ), g AS (
+          SELECT DISTINCT doc_id, list_aggregate(ws[i : i + 3], 'string_agg', ' ') AS s
+          FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS i FROM w WHERE len(ws) > 0)
+        ), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id
+        ), o AS (
+          SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY ALL
+        ), l AS MATERIALIZED (
+          SELECT a, b FROM o JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+        ), e AS MATERIALIZED (SELECT a, b FROM l UNION SELECT b, a FROM l
+        ), r AS (
+          SELECT doc_id AS node, doc_id AS seen FROM n UNION SELECT r.node, e.b FROM r JOIN e ON r.seen = e.a
+        )
+        SELECT d.doc_id, coalesce(n.n, 0)::bigint AS n_shingles, coalesce(c.m, d.doc_id) AS component_id
+        FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN (SELECT node, min(seen) AS m FROM r GROUP BY node) c ON c.node = d.doc_id
+    """,
+}
