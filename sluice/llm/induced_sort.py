@@ -29,10 +29,10 @@ import numpy as np
 from sluice.llm.text_stats import mix, powers
 
 #: Bytes of waiting tuples held in memory by one queue, and tuples in one step.
-BUDGET, STEP = 64 << 20, 1 << 16
+BUDGET, STEP = 64 << 20, 1 << 15
 #: Waiting tuples aimed at in one bucket of a queue over a large alphabet.
 BUCKET = 4096
-_FAR = np.int64(1) << 60
+_FAR = np.int32(2**31 - 1)
 
 
 class Queue:
@@ -46,12 +46,13 @@ class Queue:
     def push(self, key: np.ndarray, pos: np.ndarray, value: np.ndarray) -> None:
         if not len(key):
             return
-        bucket = key // self.width
-        kind = np.uint16 if len(self.held) < 1 << 16 else np.int64
-        order = np.argsort(bucket.astype(kind), kind="stable")
-        rows = np.stack([key, pos, value])[:, order]
+        bucket = (key // self.width if self.width > 1 else key).astype(np.uint16 if len(self.held) < 1 << 16 else np.int64)
+        order = np.argsort(bucket, kind="stable")
+        rows = np.empty((3, len(key)), np.int32)
+        for row, column in zip(rows, (key, pos, value), strict=True):
+            row[:] = column[order]
         bucket = bucket[order]
-        edges = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)).tolist()
+        edges = [0, *(np.flatnonzero(bucket[1:] != bucket[:-1]) + 1).tolist(), len(bucket)]
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             self.held[bucket[a]].append(rows[:, a:b])
         self.bytes += rows.nbytes
@@ -75,10 +76,10 @@ class Queue:
         self.held[bucket] = []
         self.bytes -= sum(p.nbytes for p in parts)
         if self.dir and os.path.exists(path := os.path.join(self.dir, str(bucket))):
-            parts.insert(0, np.fromfile(path, np.int64).reshape(-1, 3).T)
+            parts.insert(0, np.fromfile(path, np.int32).reshape(-1, 3).T)
             os.remove(path)
-        rows = np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int64)
-        return rows[:, np.argsort(rows[0], kind="stable")]
+        rows = np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int32)
+        return rows if self.width == 1 else rows[:, np.argsort(rows[0], kind="stable")]
 
     def close(self) -> None:
         if self.dir:
@@ -89,7 +90,7 @@ class _Minima:
     """For each character the least value since its last tuple."""
 
     def __init__(self, keys: int):
-        self.since = np.full(keys, _FAR)
+        self.since = np.full(keys, _FAR, np.int32)
 
     def step(self, value: np.ndarray, at: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Values of the items of a step; at and target: the items that induce, and for which character. The least value since that character's last tuple."""
@@ -103,7 +104,7 @@ class _Minima:
         start = np.where(first, 0, np.append(0, q[:-1] + 1))
         size = q - start + 1
         level = np.frexp(size.astype(np.float64))[1] - 1
-        least = np.empty(len(q), np.int64)
+        least = np.empty(len(q), np.int32)
         for k in np.unique(level):
             i = np.flatnonzero(level == k)
             least[i] = np.minimum(table[k][start[i]], table[k][q[i] + 1 - (1 << k)])
@@ -112,7 +113,7 @@ class _Minima:
         last = np.flatnonzero(np.diff(t, append=-1) != 0)
         tail = np.append(np.minimum.accumulate(value[::-1])[::-1], _FAR)
         self.since[t[last]] = tail[q[last] + 1]
-        out = np.empty(len(q), np.int64)
+        out = np.empty(len(q), np.int32)
         out[order] = least
         return out
 
@@ -121,13 +122,16 @@ class _Text:
     """A string of integers with the types of its suffixes."""
 
     def __init__(self, text: np.ndarray):
-        self.text, n = text, len(text)
+        if 2 * max(len(text), int(text.max(initial=0)) + 1) >= 2**31:
+            raise ValueError("a string to sort has fewer than 2**30 characters")
+        self.text, n = text.astype(np.int32), len(text)
+        text = self.text
         differs = np.append(text[:-1] != text[1:], True)
-        following = np.where(differs, np.arange(n), n)
+        following = np.where(differs, np.arange(n, dtype=np.int32), np.int32(n))
         self.turn = np.minimum.accumulate(following[::-1])[::-1]
         smaller = np.append(text[:-1] < text[1:], False)
         self.is_s = smaller[self.turn]
-        self.lms = np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]) + 1
+        self.lms = (np.flatnonzero(self.is_s[1:] & ~self.is_s[:-1]) + 1).astype(np.int32)
         self.sigma = int(text.max(initial=0)) + 1
 
     def run(self, pos: np.ndarray) -> np.ndarray:
@@ -145,38 +149,46 @@ def _induce(t: _Text, seeds: np.ndarray, seed_values: np.ndarray | None, up: boo
     text, n, carry = t.text, len(t.text), seed_values is not None
     sigma, goal = t.sigma, not up
 
-    def key_of(pos: np.ndarray) -> np.ndarray:
-        c = text[pos].astype(np.int64)
-        return c if up else sigma - 1 - c
+    keys = text if up else sigma - 1 - text
 
     width = max(1, -(-sigma * BUCKET // max(n, 1))) if sigma > 512 else 1
     queue = Queue(sigma, width, budget)
     minima = _Minima(sigma) if carry else None
-    seed_keys = key_of(seeds)
+    seed_keys = keys[seeds]
     edges = np.searchsorted(seed_keys, np.arange(len(queue.held) + 1) * width)
     out_pos, out_value = [], []
     if up and n:
-        queue.push(key_of(np.array([n - 1])), np.array([n - 1]), np.zeros(1, np.int64))
+        queue.push(keys[n - 1 :], np.array([n - 1]), np.zeros(1, np.int32))
     before = (-1, -1)  # key and position of the item before
     try:
         for bucket in range(len(queue.held)):
             rows = queue.take(bucket)
             a, b = edges[bucket], edges[bucket + 1]
-            mine = np.stack([2 * seed_keys[a:b] + 1, seeds[a:b], seed_values[a:b] if carry else np.zeros(b - a, np.int64)])
             rows[0] *= 2
-            rows = np.concatenate([rows, mine], 1)
-            rows = rows[:, np.argsort(rows[0], kind="stable")]
+            if b > a:
+                mine = np.zeros((3, b - a), np.int32)
+                mine[0], mine[1] = 2 * seed_keys[a:b] + 1, seeds[a:b]
+                if carry:
+                    mine[2] = seed_values[a:b]
+                rows = np.concatenate([rows, mine], 1)
+                if width > 1:
+                    rows = rows[:, np.argsort(rows[0], kind="stable")]
             while rows.shape[1]:
                 head = rows[:, :STEP]
                 prior = head[1] - 1
-                good = (prior >= 0) & (t.is_s[prior] == goal)
-                target = np.where(good, key_of(np.maximum(prior, 0)), _FAR)
-                # Of two neighbours with one character, the seed's predecessor decides nothing about types: only L (S) predecessors are induced.
-                near = good & (target // width == bucket)
-                limit = np.minimum.accumulate(np.where(near, 2 * target, _FAR))
-                over = np.flatnonzero(head[0][1:] > limit[:-1])
-                cut = int(over[0]) + 1 if len(over) else head.shape[1]
-                head, prior, good, target, near = head[:, :cut], prior[:cut], good[:cut], target[:cut], near[:cut]
+                good = (t.is_s[prior] == goal) & (prior >= 0)
+                target = keys[prior]
+                near = good & ((target // width if width > 1 else target) == bucket)
+                some = near.any()
+                if some:
+                    # No tuple may be taken before one that is induced here and belongs in front of it.
+                    limit = np.minimum.accumulate(np.where(near, 2 * target, _FAR))
+                    over = np.flatnonzero(head[0][1:] > limit[:-1])
+                    if len(over):
+                        cut = int(over[0]) + 1
+                        head, prior, good, target, near = head[:, :cut], prior[:cut], good[:cut], target[:cut], near[:cut]
+                        some = near.any()
+                cut = head.shape[1]
                 value = head[2]
                 if carry:
                     value = value.copy()
@@ -196,29 +208,31 @@ def _induce(t: _Text, seeds: np.ndarray, seed_values: np.ndarray | None, up: boo
                         minima.since = np.minimum(minima.since, value.min())
                     fill = np.minimum(shared + 1, cap)
                 else:
-                    fill = np.zeros(len(at), np.int64)
+                    fill = np.zeros(len(at), np.int32)
                 induced = head[0] & 1 == 0
                 out_pos.append(head[1][induced])
                 if carry:
                     out_value.append(value[induced])
-                new = np.stack([target[at], prior[at], fill])
-                inside = near[at]
-                queue.push(*new[:, ~inside])
                 rows = rows[:, cut:]
-                if inside.any():
-                    more = new[:, inside]
-                    more[0] *= 2
-                    rows = np.concatenate([rows, more], 1)
-                    rows = rows[:, np.argsort(rows[0], kind="stable")]
+                target, prior = target[at], prior[at]
+                if not some:
+                    queue.push(target, prior, fill)
+                    continue
+                inside = near[at]
+                queue.push(target[~inside], prior[~inside], fill[~inside])
+                more = np.empty((3, int(inside.sum())), np.int32)
+                more[0], more[1], more[2] = 2 * target[inside], prior[inside], fill[inside]
+                rows = np.concatenate([rows, more], 1)
+                rows = rows[:, np.argsort(rows[0], kind="stable")]
     finally:
         queue.close()
-    empty = np.zeros(0, np.int64)
+    empty = np.zeros(0, np.int32)
     return np.concatenate([empty, *out_pos]), np.concatenate([empty, *out_value])
 
 
 def _merged(t: _Text, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Order of the L suffixes (ascending), then of the S suffixes (ascending), within each character."""
-    key = np.concatenate([2 * t.text[low].astype(np.int64), 2 * t.text[high].astype(np.int64) + 1])
+    key = np.concatenate([2 * t.text[low], 2 * t.text[high] + 1])
     return np.argsort(key, kind="stable")
 
 
@@ -237,7 +251,7 @@ def _sorted_lms(t: _Text, budget: int) -> np.ndarray:
     # Pieces reach to the next leftmost-S position, included; the last one to the end.
     power, inverse = powers(len(t.text) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((t.text.astype(np.uint64) + np.uint64(1)) * power[: len(t.text)], dtype=np.uint64)])
-    stop = np.append(lms[1:] + 1, len(t.text) + 1)
+    stop = np.append(lms[1:] + 1, len(t.text) + 1).astype(np.int64)
     content = mix((total[np.minimum(stop, len(t.text))] - total[lms]) * inverse[lms])
     number = np.zeros(len(t.text), np.int64)
     number[lms] = np.arange(len(lms))

@@ -5,13 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sluice.llm import license_scan, mixing, ngram_join, quality_gbt, quality_rules, secret_scan, sentencepiece_codec, url_reputation, va_topk
+from sluice.llm import license_scan, mixing, ngram_join, quality_gbt, quality_rules, secret_scan, sentencepiece_codec, suffix_dedup, url_reputation, va_topk
 from sluice.session import table
 
 #: Where the SentencePiece model lies.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suffix-array removal of repeated strings over all documents."""
+    return suffix_dedup.remove(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op2_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixing sources to target weights over all documents."""
     plan = mixing.plan(table(spark, sf_dir, "documents"))
@@ -62,7 +67,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.join(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_source_mix, op3_quality_rules, op4_license_scan, op5_quality_gbt, op6_secret_scan, op7_sentencepiece, op8_va_topk, op9_url_reputation, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_quality_rules, op4_license_scan, op5_quality_gbt, op6_secret_scan, op7_sentencepiece, op8_va_topk, op9_url_reputation, op10_ngram_join)}
 ORACLES: dict[str, str] = {
     "op10_ngram_join": r"""
         WITH RECURSIVE w AS (

@@ -14,7 +14,7 @@ import numpy as np
 from sluice.llm.text_stats import mix, powers
 
 #: Bytes of the strings whose hashes are minimized.
-GRAM = 64
+GRAM = 96
 
 
 @dataclass
