@@ -66,8 +66,8 @@ def miss_probability() -> float:
 
 def words(text: Column) -> Column:
     """Lower-cased words without punctuation; null has none."""
-    clean = F.trim(F.regexp_replace(F.translate(F.lower(F.coalesce(text, F.lit(""))), _DROPPED, ""), r"[\x20\x09-\x0D]+", " "))
-    return F.when(clean == "", F.array().cast("array<string>")).otherwise(F.split(clean, " "))
+    clean = F.translate(F.lower(F.coalesce(text, F.lit(""))), _DROPPED, "")
+    return F.filter(F.split(clean, r"[\x20\x09-\x0D]+"), lambda w: w != "")
 
 
 def shingles(word_array: Column) -> Column:
@@ -85,7 +85,7 @@ def bands(window: Column) -> Column:
 def _prepared(spark: SparkSession, templates: tuple[tuple[str, str], ...]) -> list[tuple[str, int, list[int], list[int]]]:
     """(license, class, shingles, bands) of each template."""
     df = spark.createDataFrame([(i, n, t) for i, (n, t) in enumerate(templates)], "i int, name string, text string")
-    own = df.select("i", "name", F.array_distinct(shingles(words(F.col("text")))).alias("s"))
+    own = df.select("i", "name", words(F.col("text")).alias("w")).select("i", "name", F.array_distinct(shingles(F.col("w"))).alias("s"))
     rows = own.select("i", "name", "s", bands(F.col("s")).alias("b")).collect()
     if any(not r["s"] for r in rows):
         raise ValueError(f"a template needs {SHINGLE} words at least")
@@ -118,7 +118,8 @@ def scan(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, do
     """Per row: doc_id, matches (array of license and containment, best first by name), and licenses (their names, comma-joined)."""
     prepared = _prepared(docs.sparkSession, templates)
     every = sorted({h for _, _, s, _ in prepared for h in s})
-    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), shingles(words(docs[text])).alias("h"))
+    # Each array is a column of its own before a lambda refers to it: within a lambda it would be made anew for each element.
+    base = docs.select(docs[doc_id].cast("long").alias("doc_id"), words(docs[text]).alias("w")).select("doc_id", shingles(F.col("w")).alias("h"))
     # Positions of shingles that some template has.
     hits = F.filter(F.transform(F.col("h"), lambda h, i: F.when(h.isin(every), i)), lambda i: i.isNotNull())
     base = base.select("doc_id", "h", hits.alias("hits"))
