@@ -165,7 +165,8 @@ def scan(docs: DataFrame, model: Markov | None = None, doc_id: str = "doc_id", t
 def redact(docs: DataFrame, model: Markov | None = None, text: str = "text") -> DataFrame:
     """The rows with every span of their text replaced by its kind in angle brackets; nothing else changes."""
     found = model or train(sample_words(docs, text))
-    at = docs.columns.index(text)
+    names = docs.columns
+    at = names.index(text)
 
     def clean(t: str | None) -> str | None:
         if not t:
@@ -183,6 +184,6 @@ def redact(docs: DataFrame, model: Markov | None = None, text: str = "text") ->
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         columns = list(batch.columns)
         columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays(columns, names=docs.columns)
+        yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_arrow(docs, run, docs.schema)
