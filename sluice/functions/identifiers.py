@@ -8,12 +8,13 @@ import uuid
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Namespace of stable ids: any fixed UUID makes ids reproducible.
 NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "https://sluice.example/ids")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 

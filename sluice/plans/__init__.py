@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import importlib
+
 from sluice.plans.registry import ORACLES, QUERIES, Query
 
+MODULES = ("history", "flows", "measures")
+
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:
     """Import every module of queries and return queries and oracles by name."""
-    from sluice.plans import history  # noqa: F401
-
+    for name in MODULES:
+        importlib.import_module(f"sluice.plans.{name}")
     return dict(QUERIES), dict(ORACLES)
