@@ -76,23 +76,26 @@ def _shrunk(level: DataFrame, parents: DataFrame, key: str, parent: str) -> Data
     """(key, parent, n, bad) with posterior alpha and beta, given the parents' posterior mean.
 
     The prior's weight m solves the beta-binomial moment equation: with residual
-    r = n (bad / n - mean)^2 / (mean (1 - mean)), E[r] = (m + n) / (m + 1).
+    r = n (bad / n - mean)^2 / (mean (1 - mean)), E[r] = (m + n) / (m + 1). A prior never counts
+    for more pages than its parent's own posterior does.
     """
-    rows = level.join(parents.select(F.col(parents.columns[0]).alias(parent), F.col("mean").alias("prior")), parent)
+    rows = level.join(parents.select(F.col(parents.columns[0]).alias(parent), F.col("mean").alias("prior"), F.col("strength")), parent)
     v = F.col("prior") * (1 - F.col("prior"))
     labelled = (F.col("n") > 0) & (v > 0)
     excess = F.when(labelled, F.col("n") * F.pow(F.col("bad") / F.col("n") - F.col("prior"), 2) / v - 1)
     spread = F.when(labelled, F.col("n") - 1)
-    fit = rows.agg(F.sum(excess).alias("excess"), F.sum(spread).alias("spread"))
+    fit = rows.agg(F.sum(excess).alias("excess"), F.sum(spread).alias("spread"), F.count_if(labelled).alias("groups"))
     rho = F.col("excess") / F.col("spread")
-    weight = F.when(F.col("spread") > 0, F.when(rho <= 0, F.lit(MOST_WEIGHT)).otherwise(F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), (1 - rho) / rho)))).otherwise(F.lit(LEAST_WEIGHT))
+    weight = F.when((F.col("spread") > 0) & (F.col("groups") > 1), F.when(rho <= 0, F.lit(MOST_WEIGHT)).otherwise(F.least(F.lit(MOST_WEIGHT), F.greatest(F.lit(LEAST_WEIGHT), (1 - rho) / rho)))).otherwise(F.lit(LEAST_WEIGHT))
     alpha, beta = F.col("m") * F.col("prior") + F.col("bad"), F.col("m") * (1 - F.col("prior")) + F.col("n") - F.col("bad")
     return (
         # One row: the fitted weight.
         rows.crossJoin(F.broadcast(fit.select(F.coalesce(weight, F.lit(LEAST_WEIGHT)).alias("m"))))
+        .withColumn("m", F.least("m", "strength"))
         .withColumn("alpha", alpha)
         .withColumn("beta", beta)
-        .select(key, "n", "bad", "alpha", "beta", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("mean"))
+        .withColumn("strength", F.col("alpha") + F.col("beta"))
+        .select(key, "n", "bad", "alpha", "beta", "strength", (F.col("alpha") / F.col("strength")).alias("mean"))
     )
 
 
@@ -103,7 +106,7 @@ def reputation(outcomes: DataFrame) -> DataFrame:
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit("all"))
     # Half a good and half a bad page keep the mean inside (0, 1).
-    root = hosts.agg(F.lit("all").alias("root"), ((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("mean"))
+    root = hosts.agg(F.lit("all").alias("root"), ((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("mean"), (F.coalesce(F.sum("n"), F.lit(0)) + 1.0).alias("strength"))
     of_suffix = cut(_shrunk(suffixes, root, "suffix", "root"))
     of_domain = cut(_shrunk(domains, of_suffix, "domain", "suffix"))
     a, b = F.col("alpha"), F.col("beta")
