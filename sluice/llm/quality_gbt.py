@@ -168,7 +168,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["_id", "_y", "x"])
 
     found = sorted(map(tuple, map_arrow(texts, run, "_id long, _y int, x array<double>").collect()))
-    return np.array([r[2] for r in found]).reshape(len(found), -1), np.array([r[1] for r in found], np.float64)
+    return np.array([r[2] for r in found]).reshape(len(found), len(FEATURES)), np.array([r[1] for r in found], np.float64)
 
 
 def score(docs: DataFrame, trees: Trees, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
