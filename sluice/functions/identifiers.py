@@ -10,8 +10,8 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Namespace of stable ids: any fixed UUID makes ids reproducible.
-NAMESPACE = uuid.uuid5(uuid.NAMESPACE_URL, "https://sluice.example/ids")
+#: Namespace of stable ids. Fixed value: ids must agree with those already published.
+NAMESPACE = uuid.UUID("7087e635-619a-5b41-99bc-c8ab98842348")
 
 
 @F.pandas_udf(T.StringType())
@@ -42,12 +42,12 @@ def uuid5(name: Column, namespace: uuid.UUID = NAMESPACE) -> Column:
 
 
 def stable_id(kind: str, *parts: Column, ascii_only: bool = False) -> Column:
-    """`obs:<kind>:<uuid5 of the joined lower-case parts>`; an empty part is an error."""
+    """`obs:<kind>:<uuid5 of the kind and the parts, lower-case, joined by |>`; an empty part is an error."""
     clean = [F.lower(collapse(p) if ascii_only else normalize_text(p)) for p in parts]
-    empty = clean[0].isNull() | (clean[0] == "")
-    for c in clean[1:]:
+    empty = F.lit(False)
+    for c in clean:
         empty = empty | c.isNull() | (c == "")
-    made = F.concat(F.lit(f"obs:{kind}:"), uuid5(F.concat_ws("|", *clean)))
+    made = F.concat(F.lit(f"obs:{kind}:"), uuid5(F.concat_ws("|", F.lit(kind), *clean)))
     return F.when(empty, F.raise_error(F.lit(f"{kind} id needs all its parts")).cast("string")).otherwise(made)
 
 

@@ -15,7 +15,7 @@ def one(spark, column, **values):
 
 def test_stable_id_is_a_uuid5(spark):
     got = one(spark, identifiers.stable_id("candidate", F.lit(" Src "), F.lit("A  b ﬁ")))
-    assert got == "obs:candidate:" + str(uuid.uuid5(identifiers.NAMESPACE, "src|a b fi"))
+    assert got == "obs:candidate:" + str(uuid.uuid5(identifiers.NAMESPACE, "candidate|src|a b fi"))
     with pytest.raises(Exception, match="needs all its parts"):
         spark.range(1).select(identifiers.stable_id("x", F.lit(" "))).collect()
 
