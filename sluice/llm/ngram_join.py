@@ -10,13 +10,17 @@ A document's set holds the distinct `WORDS`-word shingles of its whole, A-Z lowe
    (100 - P) / (100 + P) of their summed sizes), so two linked sets agree on a whole part. Each
    non-empty part's content is a routing key; sets that share no key cannot link. Common lines
    and passages do not bring documents together, as whole parts must be equal.
-3. T-occurrence search (DivideSkip) in units of bounded size: an inverted index over a block of
-   sets; the query's longest lists are set aside, the short ones heap-merged, and what occurs
-   often enough there is looked up in the long lists by binary search until the required
-   overlap is reached or out of reach.
-4. Components. Links are first sought between each key's first and last class and its other
-   members. Keys whose members are then still in several components are searched again: what
-   is outside the largest component against one block of the rest, then whatever is left
+3. Candidates are compared by histograms of their shingles' hashes first: two histograms differ
+   in no more places than the sets do, so a pair beyond the bound is no link, at a sixteenth of
+   the bytes moved.
+   T-occurrence search (DivideSkip) then runs in units of bounded size: an inverted index over a
+   block of sets; the query's longest lists are set aside, the short ones heap-merged, and what
+   occurs often enough there is looked up in the long lists by binary search until the
+   required overlap is reached or out of reach.
+4. Components. Links are first sought between each class and the first one that it shares a
+   key with, then between each key's first and last class and its members of other components.
+   Keys whose members are then still in several components are searched again: what is
+   outside the largest component against one block of the rest, then whatever is left
    against every block. Pairs within one component need no test, so a group of near copies
    costs searches in proportion to its size, yet no link between components is missed.
 
@@ -51,6 +55,8 @@ BLOCK = 256
 SPARE = 2
 #: Class representatives up to so many have their texts picked by broadcast (16 bytes each), beyond by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Bins of a set's histogram, and of the finer one of sets with more shingles than LONG.
+BINS, FINE, LONG = 256, 2048, 1000
 _STEP = np.uint64(0x100000001B3)
 
 
@@ -219,7 +225,7 @@ def _routes(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(cls, grams) of the wanted (doc_id, cls)."""
+    """(cls, grams, sketch) of the wanted (doc_id, cls)."""
     few = wanted.count() <= BROADCAST_ROWS
     side = wanted.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"))
     rows = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("_text")).join(F.broadcast(side) if few else side, "_id").select("_cls", "_text")
@@ -230,30 +236,66 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int
             sets = shingle_sets(every[a:b], words)
             # Another text may share the id.
             same = np.flatnonzero(class_ids(sets) == cls[a:b])
-            yield pa.RecordBatch.from_arrays([pa.array(cls[a:b][same]), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["cls", "grams"])
+            columns = [pa.array(cls[a:b][same]), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64())), pa.array([sketch(sets[i]) for i in same], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["cls", "grams", "sketch"])
 
     # Repeated rows give the same set again.
-    return map_arrow(rows, run, "cls long, grams array<long>").dropDuplicates(["cls"])
+    return map_arrow(rows, run, "cls long, grams array<long>, sketch binary").dropDuplicates(["cls"])
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """Shingles in each bin, up to 255, as bytes; long sets have FINE bins, which fold to BINS by their number modulo BINS."""
+    bins = FINE if len(grams) > LONG else BINS
+    return np.minimum(np.bincount((grams % np.uint64(bins)).astype(np.int64), minlength=bins), 255).astype(np.uint8).tobytes()
+
+
+def near(asked: list[bytes], block: list[bytes], asked_sizes: np.ndarray, block_sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions whose sets may link by their sizes and histograms."""
+
+    def folded(sketches: list[bytes]) -> np.ndarray:
+        return np.stack([np.frombuffer(x, np.uint8).reshape(-1, BINS).sum(0, dtype=np.int32) for x in sketches]).astype(np.int32)
+
+    q, x = folded(asked), folded(block)
+    both = asked_sizes[:, None] + block_sizes[None, :]
+    ok = (100 * np.minimum(asked_sizes[:, None], block_sizes) >= percent * np.maximum(asked_sizes[:, None], block_sizes)).astype(bool)
+    for i in range(len(q)):
+        at = np.flatnonzero(ok[i])
+        ok[i, at] = (100 + percent) * np.abs(x[at] - q[i]).sum(1) <= (100 - percent) * both[i, at]
+    i, j = np.nonzero(ok)
+    fine = np.array([len(asked[a]) == FINE and len(block[b]) == FINE for a, b in zip(i, j, strict=True)], bool)
+    for k in np.flatnonzero(fine):
+        apart = np.abs(np.frombuffer(asked[i[k]], np.uint8).astype(np.int32) - np.frombuffer(block[j[k]], np.uint8)).sum()
+        fine[k] = (100 + percent) * apart > (100 - percent) * both[i[k], j[k]]
+    return i[~fine], j[~fine]
 
 
 def _search(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a > b) between the queries (role 0) and the index (role 1) of each unit."""
+    empty = np.zeros(0, np.int64)
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        asked, block = rows[rows["role"] == 0], rows[rows["role"] == 1]
+        if not len(asked) or not len(block):
+            return pd.DataFrame({"center": empty, "cls": empty})
+        i, j = near(asked["sketch"].tolist(), block["sketch"].tolist(), asked["n"].to_numpy(np.int64), block["n"].to_numpy(np.int64), percent)
+        center, cls = asked["cls"].to_numpy()[i], block["cls"].to_numpy()[j]
+        return pd.DataFrame({"center": center, "cls": cls})[center != cls]
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         asked, block = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        a, b = [], []
+        a, b = [empty], [empty]
         if len(asked) and len(block):
             cls = block["cls"].to_numpy()
             index = Index([np.asarray(x, np.int64).view(np.uint64) for x in block["grams"]], percent)
             for me, grams in zip(asked["cls"], asked["grams"], strict=True):
                 other = cls[index.search(np.asarray(grams, np.int64).view(np.uint64))]
-                other = other[other != me]
                 a.append(np.maximum(other, me))
                 b.append(np.minimum(other, me))
-        empty = np.zeros(0, np.int64)
-        return pd.DataFrame({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
+        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
 
-    return units.join(sets, "cls").groupBy("unit").applyInPandas(run, "a long, b long").distinct()
+    sketches = sets.select("cls", "sketch", F.size("grams").alias("n"))
+    pairs = cut(units.join(sketches, "cls").groupBy("unit").applyInPandas(compare, "center long, cls long").distinct())
+    return _star_units(pairs).join(sets.select("cls", "grams"), "cls").groupBy("unit").applyInPandas(run, "a long, b long").distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -293,27 +335,54 @@ def link_classes(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text:
     wanted = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi"))
     sets = cut(_sets(docs, wanted, doc_id, text, words))
 
-    # First and last class of each key against its other members, in blocks.
-    pairs = members.select(F.explode(F.array("lo", "hi")).alias("center"), "cls").where(F.col("center") != F.col("cls")).distinct()
-    size = pairs.groupBy("center").agg(F.ceil(F.count("cls") / BLOCK).alias("blocks"))
-    dealt = pairs.join(size, "center").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks"))).select(_unit("center", "block").alias("unit"), "center", "cls")
-    units = dealt.select("unit", "cls", F.lit(1).alias("role")).unionByName(dealt.select("unit", F.col("center").alias("cls"), F.lit(0).alias("role")).distinct())
-    links = cut(_search(units, sets, percent))
+    def found(units: DataFrame, before: DataFrame | None = None) -> DataFrame:
+        more = _search(units, sets, percent)
+        return cut(more if before is None else before.unionByName(more).distinct())
+
+    # Each class against the first class that it shares a key with.
+    nearest = cut(members.groupBy("cls").agg(F.min("lo").alias("center")).where(F.col("center") < F.col("cls")))
+    links = found(_star_units(nearest))
+    # The first and last class of each key against members that are still in other components.
+    roots = cut(components(links))
+    ends = members.select(F.explode(F.array("lo", "hi")).alias("center"), "cls").where(F.col("center") != F.col("cls")).distinct()
+    links = found(_star_units(_apart(ends.join(nearest, ["center", "cls"], "left_anti"), roots)), links)
+    # What keys of four or more classes have left.
     for every in (False, True):
-        roots = components(links)
-        left = _unresolved(members, roots)
-        if left.isEmpty():
-            break
-        more = _search(_more_units(left, every), sets, percent)
-        links = cut(links.unionByName(more).distinct())
+        left = _unresolved(members, cut(components(links)), every)
+        if not left.isEmpty():
+            links = found(_more_units(left, every), links)
     return components(links)
 
 
-def _unresolved(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """(grp, cls, root) of the keys of three or more classes whose members are in several components; keys with the same members count once."""
-    known = members.select("key", "cls").join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("key", "cls", F.coalesce("root", "cls").alias("root"))
+def _rooted(classes: DataFrame, roots: DataFrame, cls: str, root: str) -> DataFrame:
+    """The rows with the component's root of the class in one column; a class without links is its own."""
+    known = roots.select(F.col("node").alias(cls), F.col("root").alias("_root"))
+    return classes.join(known, cls, "left").withColumn(root, F.coalesce("_root", cls)).drop("_root")
+
+
+def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """Pairs of classes of different components."""
+    both = _rooted(_rooted(pairs, roots, "center", "r0"), roots, "cls", "r1")
+    return both.where(F.col("r0") != F.col("r1")).select("center", "cls")
+
+
+def _star_units(pairs: DataFrame) -> DataFrame:
+    """Units that ask for each center in blocks of the classes paired with it."""
+    size = pairs.groupBy("center").agg(F.ceil(F.count("cls") / BLOCK).alias("blocks"))
+    dealt = pairs.join(size, "center").select(_unit("center", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("unit"), "center", "cls")
+    return dealt.select("unit", "cls", F.lit(1).alias("role")).unionByName(dealt.select("unit", F.col("center").alias("cls"), F.lit(0).alias("role")).distinct())
+
+
+def _unresolved(members: DataFrame, roots: DataFrame, large: bool) -> DataFrame:
+    """(grp, cls, root) of the keys with pairs left to test: between the first and last class lie members of several components.
+
+    Keys with the same members count once; large: only those of more than one block, as the others have been searched whole.
+    """
+    between = members.where((F.col("cls") != F.col("lo")) & (F.col("cls") != F.col("hi"))).select("key", "cls")
+    known = _rooted(between, roots, "cls", "root")
     hashed = F.xxhash64("cls").bitwiseXOR(F.lit(0x5DEECE66D))
-    groups = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("cls").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftright(hashed, 24)).alias("s")).where((F.col("r0") < F.col("r1")) & (F.col("n") > 2))
+    groups = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("cls").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftright(hashed, 24)).alias("s"))
+    groups = groups.where((F.col("r0") < F.col("r1")) & (F.col("n") > (BLOCK if large else 1)))
     once = groups.groupBy("n", "x", "s").agg(F.min("key").alias("key"))
     return cut(known.join(once.select("key"), "key", "left_semi").select(F.col("key").alias("grp"), "cls", "root"))
 
@@ -326,10 +395,9 @@ def _more_units(left: DataFrame, every: bool) -> DataFrame:
     index = placed.select("grp", "block", "cls", F.lit(1).alias("role"))
     asked = placed.where(F.col("root") != F.col("main"))
     where = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1) if every else F.array(F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")))
-    queries = asked.select("grp", F.explode(where).alias("block"), "cls", F.lit(0).alias("role"))
-    asked_of = queries.withColumn("part", F.pmod(F.xxhash64("cls", F.lit(9)), F.lit(1 << 20)))
-    crowd = asked_of.groupBy("grp", "block").agg(F.ceil(F.count("cls") / BLOCK).alias("parts"))
-    q = asked_of.join(crowd, ["grp", "block"]).select(_unit("grp", "block", F.pmod("part", F.col("parts"))).alias("unit"), "cls", "role")
+    queries = asked.select("grp", F.explode(where).alias("block"), "cls", F.lit(0).alias("role"), F.pmod(F.xxhash64("cls", F.lit(9)), F.lit(1 << 20)).alias("part"))
+    crowd = queries.groupBy("grp", "block").agg(F.ceil(F.count("cls") / BLOCK).alias("parts"))
+    q = queries.join(crowd, ["grp", "block"]).select(_unit("grp", "block", F.pmod("part", F.col("parts"))).alias("unit"), "cls", "role")
     i = index.join(crowd, ["grp", "block"]).select("grp", "block", "cls", "role", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
     return q.unionByName(i.select(_unit("grp", "block", "p").alias("unit"), "cls", "role"))
 
@@ -343,3 +411,16 @@ def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int
     named = cut(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id"))
     out = rows.join(named, "cls", "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs without those whose component has a smaller doc_id; rows without doc_id stay, repeated rows stay once."""
+    found = join(docs, doc_id, text)
+    gone = cut(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct())
+    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
+    kept = docs.join(side, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
+    twice = docs.where(docs[doc_id].isNotNull()).groupBy(docs[doc_id]).count().where(F.col("count") > 1)
+    if twice.isEmpty():
+        return kept
+    once = kept.where(kept[doc_id].isNotNull()).dropDuplicates([doc_id, text])
+    return once.unionByName(kept.where(kept[doc_id].isNull()))
