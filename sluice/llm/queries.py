@@ -59,7 +59,8 @@ def op9_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     """URL filter over all pages. The labelled outcomes are the rows of labels with the page's number: bad is quality 0."""
     labels = table(spark, sf_dir, "labels").where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull())
     outcomes = labels.groupBy(F.col("doc_id").alias("page_id")).agg((1 - F.min("quality")).cast("long").alias("bad"))
-    return url_reputation.judge(table(spark, sf_dir, "pages"), outcomes)
+    judged = url_reputation.judge(table(spark, sf_dir, "pages"), outcomes)
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_mean", "bad_lower")})
 
 
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,7 +69,68 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_quality_rules, op4_license_scan, op5_quality_gbt, op6_secret_scan, op7_sentencepiece, op8_va_topk, op9_url_reputation, op10_ngram_join)}
+_URL = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
+
+
+def _shrunk_sql(level: str, parents: str, key: str, parent: str) -> str:
+    """One level of shrinkage of op9 as SQL: (key, n, bad, a, b, strength, mean)."""
+    rows = f"SELECT l.*, p.mean AS prior, p.strength AS ps FROM {level} l JOIN {parents} p ON l.{parent} = p.{parent}"
+    v = "(prior * (1 - prior))"
+    rho = f"(sum(n * pow(bad / n::double - prior, 2) / {v} - 1) FILTER (n > 0 AND {v} > 0) / sum(n - 1) FILTER (n > 0 AND {v} > 0))"
+    tells = f"sum(n - 1) FILTER (n > 0 AND {v} > 0) > 0 AND count(*) FILTER (n > 0 AND {v} > 0) > 1"
+    weight = f"coalesce(CASE WHEN {tells} THEN CASE WHEN {rho} <= 0 THEN 1000.0 ELSE least(1000.0, greatest(2.0, (1 - {rho}) / {rho})) END ELSE 2.0 END, 2.0)"
+    fitted = f"SELECT r.*, least(m, ps) AS w FROM ({rows}) r CROSS JOIN (SELECT ({weight})::double AS m FROM ({rows}))"
+    return f"SELECT *, a + b AS strength, a / (a + b) AS mean FROM (SELECT {key}, n, bad, w * prior + bad AS a, w * (1 - prior) + n - bad AS b FROM ({fitted}))"
+
+
 ORACLES: dict[str, str] = {
+    "op2_source_mix": r"""
+        WITH d AS (
+          SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size,
+            (('0x' || substr(md5('mix' || chr(31) || coalesce(doc_id::varchar, chr(0)) || chr(31) || md5(coalesce(text, ''))), 1, 12))::bigint + 0.5::double) / 281474976710656.0::double AS u FROM documents
+        ), s AS (SELECT source, sum(size)::bigint AS source_size FROM d GROUP BY source
+        ), w AS (
+          SELECT *, ([1, 2, 3][((row_number() OVER (ORDER BY source ASC NULLS LAST) - 1) % 3 + 1)::int])::double AS w, (3 * source_size)::double AS cap FROM s
+        ), l AS (
+          SELECT *, ((SELECT sum(source_size)::double FROM s) - coalesce(sum(cap) OVER b, 0)) / ((SELECT sum(w) FROM w) - coalesce(sum(w) OVER b, 0)) AS level FROM w
+          WINDOW b AS (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
+        ), t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT max(level) FROM l WHERE cap > w * level), 'infinity'::double)) AS target FROM l
+        ), e AS (
+          SELECT d.*, source_size, target, CASE WHEN size > 0 AND source_size > 0 THEN least(3.0::double, target / source_size) ELSE 0.0::double END AS x FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), c AS (SELECT *, floor(x + 1e-12)::bigint AS sure, greatest(0.0::double, x - floor(x + 1e-12)) AS p FROM e
+        ), r AS (
+          SELECT *, CASE WHEN p > 0 THEN u / (u + (1 - u) * (p / (1 - p))) END AS rank, greatest(0.0::double, target - sum(size * sure) OVER (PARTITION BY source)) AS need FROM c
+        ), b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, p > 0 ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
+        SELECT doc_id, size, source_size, target, (size * copies)::bigint AS taken, copies FROM (
+          SELECT *, (sure + CASE WHEN p > 0 AND before < need AND 2 * (need - before) >= size THEN 1 ELSE 0 END)::bigint AS copies FROM b)
+    """,
+    "op8_va_topk": """
+        WITH v AS (
+          SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) AS v FROM embeddings
+          WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), s AS (SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.v, c.v)::bigint AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.v) = len(c.v) WHERE q.vec_id % 20 = 0)
+        SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::int AS rank FROM s) WHERE rank <= 20
+    """,
+    "op9_url_reputation": f"""
+        WITH u AS (SELECT page_id, coalesce({_URL}, '') AS x FROM pages
+        ), base AS (
+          SELECT page_id, translate(regexp_extract(x, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(x, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u
+        ), marks AS (SELECT doc_id AS page_id, 1 - min(quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1
+        ), hosts AS (
+          SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM base LEFT JOIN marks USING (page_id) GROUP BY ALL
+        ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL
+        ), suffixes AS (SELECT suffix, 'all' AS root, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
+        ), root AS (SELECT 'all' AS root, (sum(bad) + 0.5) / (sum(n) + 1)::double AS mean, sum(n) + 1.0 AS strength FROM hosts
+        ), s AS ({_shrunk_sql("suffixes", "root", "suffix", "root")}
+        ), d AS ({_shrunk_sql("domains", "s", "domain", "suffix")}
+        ), h AS ({_shrunk_sql("hosts", "d", "host", "domain")}
+        ), j AS (
+          SELECT page_id, host, path, mean, mean - 1.645 * sqrt(a * b / (pow(a + b, 2) * (a + b + 1))) AS lower,
+            CASE WHEN (host = 'www.example.com' OR host LIKE '%.www.example.com') AND path LIKE '/en/%' THEN 'www.example.com/en/' WHEN (host = 'example.com' OR host LIKE '%.example.com') AND path LIKE '/en/%' THEN 'example.com/en/'
+              WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/es/%' THEN 'net/es/' WHEN (host = 'net' OR host LIKE '%.net') AND path LIKE '/fr/%' THEN 'net/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND path LIKE '/%' THEN 'com/' END AS rule
+          FROM base JOIN h USING (host))
+        SELECT page_id, host, path, rule, CASE WHEN rule IN ('com/', 'www.example.com/en/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' WHEN lower > 0.3 THEN 'block' ELSE 'allow' END AS verdict, round(mean, 6) AS bad_mean, round(lower, 6) AS bad_lower FROM j
+    """,
     "op10_ngram_join": r"""
         WITH RECURSIVE w AS (
           SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
