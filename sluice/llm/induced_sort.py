@@ -19,6 +19,7 @@ at the text; only neighbouring leftmost-S suffixes are compared directly. Values
 
 from __future__ import annotations
 
+import math
 import os
 import shutil
 import tempfile
@@ -30,8 +31,15 @@ from sluice.llm.text_stats import mix, powers
 
 #: Bytes of waiting tuples held in memory by one queue, and tuples in one step.
 BUDGET, STEP = 64 << 20, 1 << 15
-#: Waiting tuples aimed at in one bucket of a queue over a large alphabet.
-BUCKET = 4096
+#: Alphabets up to this size have a bucket for each character.
+SMALL = 512
+#: Symbols of a piece that are compared as packed words; longer pieces are sorted by induction.
+PACKED = 24
+SHORT = 1 << 10
+#: Strings of ranks up to this length are sorted in memory, longer ones by recursion.
+BASE = 1 << 22
+#: Waiting tuples in one bucket of a queue over a large alphabet: at least so many, else the root of all.
+BUCKET = 64
 _FAR = np.int32(2**31 - 1)
 
 
@@ -148,10 +156,13 @@ def _induce(t: _Text, seeds: np.ndarray, seed_values: np.ndarray | None, up: boo
     """
     text, n, carry = t.text, len(t.text), seed_values is not None
     sigma, goal = t.sigma, not up
-
     keys = text if up else sigma - 1 - text
+    # Key and type of each position in one word; the last entry, which position -1 reads, is of neither type.
+    packed = np.append(4 * keys + np.where(t.is_s == goal, 1, 0).astype(np.int32), np.int32(0))
+    if sigma <= SMALL:
+        return _induce_small(t, keys, packed, seeds, seed_values, up, cap, budget)
 
-    width = max(1, -(-sigma * BUCKET // max(n, 1))) if sigma > 512 else 1
+    width = max(1, -(-sigma * max(BUCKET, math.isqrt(n)) // max(n, 1)))
     queue = Queue(sigma, width, budget)
     minima = _Minima(sigma) if carry else None
     seed_keys = keys[seeds]
@@ -176,8 +187,8 @@ def _induce(t: _Text, seeds: np.ndarray, seed_values: np.ndarray | None, up: boo
             while rows.shape[1]:
                 head = rows[:, :STEP]
                 prior = head[1] - 1
-                good = (t.is_s[prior] == goal) & (prior >= 0)
-                target = keys[prior]
+                both = packed[prior]
+                good, target = both & 1 == 1, both >> 2
                 near = good & ((target // width if width > 1 else target) == bucket)
                 some = near.any()
                 if some:
@@ -230,40 +241,146 @@ def _induce(t: _Text, seeds: np.ndarray, seed_values: np.ndarray | None, up: boo
     return np.concatenate([empty, *out_pos]), np.concatenate([empty, *out_value])
 
 
+def _induce_small(t: _Text, keys: np.ndarray, packed: np.ndarray, seeds: np.ndarray, seed_values: np.ndarray | None, up: bool, cap: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pass over a small alphabet: within a character, suffixes are taken in order of arrival, then its seeds."""
+    n, sigma, carry = len(t.text), t.sigma, seed_values is not None
+    queue, minima = Queue(sigma, 1, budget), _Minima(sigma)
+    edges = np.searchsorted(keys[seeds], np.arange(sigma + 1))
+    out_pos, out_value = [], []
+    zero = np.zeros(0, np.int32)
+    if up and n:
+        queue.push(keys[n - 1 :], np.array([n - 1]), np.zeros(1, np.int32))
+
+    def take(pos: np.ndarray, value: np.ndarray, bucket: int) -> tuple[np.ndarray, np.ndarray]:
+        """Induce from suffixes of one character; what falls into the same character comes back."""
+        prior = pos - 1
+        both = packed[prior]
+        at = np.flatnonzero(both & 1)
+        target, prior = both[at] >> 2, prior[at]
+        if not carry:
+            fill = np.zeros(len(at), np.int32)
+        elif len(at):
+            fill = np.minimum(minima.step(value, at, target) + 1, cap)
+        else:
+            minima.since = np.minimum(minima.since, value.min())
+            fill = zero
+        near = target == bucket
+        if not near.any():
+            queue.push(target, prior, fill)
+            return zero, zero
+        queue.push(target[~near], prior[~near], fill[~near])
+        return prior[near], fill[near]
+
+    try:
+        for bucket in range(sigma):
+            rows = queue.take(bucket)
+            pos, value = rows[1], rows[2]
+            last = -1
+            while len(pos):
+                more = []
+                for at in range(0, len(pos), STEP):
+                    p, v = pos[at : at + STEP], value[at : at + STEP]
+                    if last < 0:
+                        v = v.copy()
+                        v[0] = 0  # the first suffix of its character
+                    out_pos.append(p)
+                    out_value.append(v)
+                    last = p[-1]
+                    more.append(take(p, v, bucket))
+                pos, value = (np.concatenate(x) for x in zip(*more, strict=True))
+            a, b = edges[bucket], edges[bucket + 1]
+            for at in range(a, b, STEP):
+                p = seeds[at : min(at + STEP, b)]
+                v = zero
+                if carry:
+                    v = seed_values[at : at + len(p)].astype(np.int32)
+                    if at == a:
+                        # Behind induced suffixes: they share the shorter run of the character.
+                        v[0] = 0 if last < 0 else min(t.run(p[0]), t.run(last), cap)
+                take(p, v, bucket)
+    finally:
+        queue.close()
+    return np.concatenate([zero, *out_pos]), np.concatenate([zero, *out_value])
+
+
 def _merged(t: _Text, low: np.ndarray, high: np.ndarray) -> np.ndarray:
     """Order of the L suffixes (ascending), then of the S suffixes (ascending), within each character."""
     key = np.concatenate([2 * t.text[low], 2 * t.text[high] + 1])
     return np.argsort(key, kind="stable")
 
 
-def _sorted_lms(t: _Text, budget: int) -> np.ndarray:
-    """The leftmost-S suffixes in order: by recursion on the ranks of the pieces between them."""
+def _ranked_packed(t: _Text, size: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pieces (from one leftmost-S position to the next, included) in order, and each one's rank: tuples of packed symbols are sorted.
+
+    A symbol is a character and its type, L before S, so that no piece is the beginning of another.
+    """
+    bits = max(1, int(2 * t.sigma + 2).bit_length())
+    per = 63 // bits
+    symbol = np.append(2 * t.text.astype(np.int64) + t.is_s + 2, np.zeros(longest + per, np.int64))
+    words = []
+    for first in range(0, longest, per):
+        word = np.zeros(len(t.lms), np.int64)
+        for k in range(first, first + per):
+            word = (word << bits) | np.where(k < size, symbol[t.lms + k], 0)
+        words.append(word)
+    piece = np.lexsort(words[::-1]) if len(words) > 1 else np.argsort(words[0], kind="stable")
+    fresh = np.zeros(len(piece), bool)
+    fresh[0] = True
+    for word in words:
+        w = word[piece]
+        fresh[1:] |= w[1:] != w[:-1]
+    return piece, np.cumsum(fresh) - 1
+
+
+def _ranked_induced(t: _Text, stop: np.ndarray, size: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+    """The same by induction from the unsorted pieces; pieces are compared by a hash of their characters."""
     lms = t.lms
-    if len(lms) < 2:
-        return lms
     by_first = lms[np.argsort(t.text[lms], kind="stable")]
     low, _ = _induce(t, by_first, None, True, 0, budget)
     high, _ = _induce(t, low[::-1], None, False, 0, budget)
-    marked = np.zeros(len(t.text), bool)
-    marked[lms] = True
-    order = high[::-1]
-    order = order[marked[order]]
-    # Pieces reach to the next leftmost-S position, included; the last one to the end.
+    number = np.full(len(t.text), -1, np.int64)
+    number[lms] = np.arange(len(lms))
+    piece = number[high[::-1]]
+    piece = piece[piece >= 0]
     power, inverse = powers(len(t.text) + 1)
     total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((t.text.astype(np.uint64) + np.uint64(1)) * power[: len(t.text)], dtype=np.uint64)])
-    stop = np.append(lms[1:] + 1, len(t.text) + 1).astype(np.int64)
     content = mix((total[np.minimum(stop, len(t.text))] - total[lms]) * inverse[lms])
-    number = np.zeros(len(t.text), np.int64)
-    number[lms] = np.arange(len(lms))
-    piece = number[order]
-    size = stop - lms
     fresh = np.append(True, (content[piece[1:]] != content[piece[:-1]]) | (size[piece[1:]] != size[piece[:-1]]))
-    rank = np.cumsum(fresh) - 1
+    return piece, np.cumsum(fresh) - 1
+
+
+def _sorted_lms(t: _Text, budget: int) -> np.ndarray:
+    """The leftmost-S suffixes in order: by recursion on the ranks of the pieces between them."""
+    lms = t.lms
+    if len(lms) < 2:
+        return lms
+    stop = np.append(lms[1:] + 1, len(t.text) + 1).astype(np.int64)
+    size = stop - lms
+    if (long := size.max()) <= PACKED or len(lms) < SHORT:
+        piece, rank = _ranked_packed(t, size, int(long))
+    else:
+        piece, rank = _ranked_induced(t, stop, size, budget)
+    order = lms[piece]
     if rank[-1] == len(lms) - 1:
         return order
     names = np.empty(len(lms), np.int64)
     names[piece] = rank
-    return lms[suffix_array(names, budget)]
+    return lms[_doubled(names) if len(names) <= BASE else suffix_array(names, budget)]
+
+
+def _doubled(rank: np.ndarray) -> np.ndarray:
+    """Suffixes of a short string in order, by doubling the compared length: the recursion's base, in memory."""
+    n, size = len(rank), 1
+    while True:
+        key = rank * np.int64(n + 1)
+        key[:-size] += rank[size:] + 1
+        order = np.argsort(key)
+        fresh = np.append(False, key[order[1:]] != key[order[:-1]])
+        rank = np.empty(n, np.int64)
+        rank[order] = np.cumsum(fresh)
+        if rank[order[-1]] == n - 1:
+            return order
+        size *= 2
 
 
 def suffix_array(text: np.ndarray, budget: int = BUDGET) -> np.ndarray:

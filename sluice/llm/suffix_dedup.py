@@ -40,7 +40,7 @@ from sluice.session import cut
 #: Bytes of a repeated string: fixed by the contract.
 LENGTH = 200
 #: Bytes of a shard aimed at, and distinct contents of one minimizer in one shard.
-SHARD, HOT = 4_000_000, 1024
+SHARD, HOT = 2_000_000, 8192
 #: Texts up to so many are picked by broadcasting their numbers (8 bytes each), beyond by a shuffle.
 BROADCAST_ROWS = 500_000
 _SPANS = "array<struct<a:int,b:int>>"
