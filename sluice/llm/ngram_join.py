@@ -35,7 +35,7 @@ from __future__ import annotations
 
 import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -55,6 +55,8 @@ BLOCK = 256
 SPARE = 2
 #: Class representatives up to so many have their texts picked by broadcast (16 bytes each), beyond by a shuffle.
 BROADCAST_ROWS = 500_000
+#: Rows of units that are handed to Python at a time.
+GROUP = 4000
 #: Bins of a set's histogram, and of the finer one of sets with more shingles than LONG.
 BINS, FINE, LONG = 256, 2048, 1000
 _STEP = np.uint64(0x100000001B3)
@@ -239,8 +241,10 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int
             columns = [pa.array(cls[a:b][same]), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64())), pa.array([sketch(sets[i]) for i in same], pa.binary())]
             yield pa.RecordBatch.from_arrays(columns, names=["cls", "grams", "sketch"])
 
-    # Repeated rows give the same set again.
-    return map_arrow(rows, run, "cls long, grams array<long>, sketch binary").dropDuplicates(["cls"])
+    found = cut(map_arrow(rows, run, "cls long, grams array<long>, sketch binary"))
+    # Repeated rows give the same set again; only then are sets moved to drop them.
+    repeated = found.groupBy("cls").count().where(F.col("count") > 1)
+    return found if repeated.isEmpty() else cut(found.dropDuplicates(["cls"]))
 
 
 def sketch(grams: np.ndarray) -> bytes:
@@ -253,7 +257,9 @@ def near(asked: list[bytes], block: list[bytes], asked_sizes: np.ndarray, block_
     """Pairs of positions whose sets may link by their sizes and histograms."""
 
     def folded(sketches: list[bytes]) -> np.ndarray:
-        return np.stack([np.frombuffer(x, np.uint8).reshape(-1, BINS).sum(0, dtype=np.int32) for x in sketches]).astype(np.int32)
+        if len(joined := b"".join(sketches)) == BINS * len(sketches):
+            return np.frombuffer(joined, np.uint8).reshape(-1, BINS).astype(np.int32)
+        return np.stack([np.frombuffer(x, np.uint8).reshape(-1, BINS).sum(0, dtype=np.int32) for x in sketches])
 
     q, x = folded(asked), folded(block)
     both = asked_sizes[:, None] + block_sizes[None, :]
@@ -271,31 +277,43 @@ def near(asked: list[bytes], block: list[bytes], asked_sizes: np.ndarray, block_
 
 def _search(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (a > b) between the queries (role 0) and the index (role 1) of each unit."""
-    empty = np.zeros(0, np.int64)
-
-    def compare(rows: pd.DataFrame) -> pd.DataFrame:
-        asked, block = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        if not len(asked) or not len(block):
-            return pd.DataFrame({"center": empty, "cls": empty})
+    def compare(asked: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         i, j = near(asked["sketch"].tolist(), block["sketch"].tolist(), asked["n"].to_numpy(np.int64), block["n"].to_numpy(np.int64), percent)
         center, cls = asked["cls"].to_numpy()[i], block["cls"].to_numpy()[j]
-        return pd.DataFrame({"center": center, "cls": cls})[center != cls]
+        return center[center != cls], cls[center != cls]
+
+    def search(asked: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+        cls = block["cls"].to_numpy()
+        index = Index([np.asarray(x, np.int64).view(np.uint64) for x in block["grams"]], percent)
+        found = [(me, cls[index.search(np.asarray(grams, np.int64).view(np.uint64))]) for me, grams in zip(asked["cls"], asked["grams"], strict=True)]
+        other, me = np.concatenate([o for _, o in found]), np.repeat([m for m, _ in found], [len(o) for _, o in found])
+        return np.maximum(other, me), np.minimum(other, me)
+
+    pairs = cut(_by_unit(units, sets.select("cls", "sketch", F.size("grams").alias("n")), compare, "center", "cls").distinct())
+    return _by_unit(_star_units(pairs), sets.select("cls", "grams"), search, "a", "b").distinct()
+
+
+def _by_unit(units: DataFrame, data: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], a: str, b: str) -> DataFrame:
+    """fn of the queries and the index of each unit; several units of together about GROUP rows are handed over at once."""
+    units = cut(units)
+    groups = max(1, -(-units.count() // GROUP))
+    needed = units.select("cls").distinct()
+    if needed.count() <= BROADCAST_ROWS:
+        # Only what the units ask for is shuffled.
+        data = data.join(F.broadcast(needed), "cls", "left_semi")
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
-        asked, block = rows[rows["role"] == 0], rows[rows["role"] == 1]
-        a, b = [empty], [empty]
-        if len(asked) and len(block):
-            cls = block["cls"].to_numpy()
-            index = Index([np.asarray(x, np.int64).view(np.uint64) for x in block["grams"]], percent)
-            for me, grams in zip(asked["cls"], asked["grams"], strict=True):
-                other = cls[index.search(np.asarray(grams, np.int64).view(np.uint64))]
-                a.append(np.maximum(other, me))
-                b.append(np.minimum(other, me))
-        return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-    sketches = sets.select("cls", "sketch", F.size("grams").alias("n"))
-    pairs = cut(units.join(sketches, "cls").groupBy("unit").applyInPandas(compare, "center long, cls long").distinct())
-    return _star_units(pairs).join(sets.select("cls", "grams"), "cls").groupBy("unit").applyInPandas(run, "a long, b long").distinct()
+        rows = rows.sort_values(["unit", "role"], kind="stable", ignore_index=True)
+        unit, role = rows["unit"].to_numpy(), rows["role"].to_numpy()
+        edges = np.append(np.flatnonzero(np.append(True, unit[1:] != unit[:-1])), len(rows))
+        out = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for start, stop in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            split = start + int(np.searchsorted(role[start:stop], 1))
+            if start < split < stop:
+                out.append(fn(rows.iloc[start:split], rows.iloc[split:stop]))
+        return pd.DataFrame({a: np.concatenate([x for x, _ in out]), b: np.concatenate([y for _, y in out])})
+
+    return units.join(data, "cls").groupBy(F.pmod("unit", F.lit(groups))).applyInPandas(run, f"{a} long, {b} long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -333,7 +351,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text:
     members = cut(routed.where(F.col("lo") < F.col("hi")).distinct())
     classes = rows.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi"))
-    sets = cut(_sets(docs, wanted, doc_id, text, words))
+    sets = _sets(docs, wanted, doc_id, text, words)
 
     def found(units: DataFrame, before: DataFrame | None = None) -> DataFrame:
         more = _search(units, sets, percent)
