@@ -124,11 +124,29 @@ def outcome_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def lexical_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 12 leading words and pairs of English documents."""
+    """The 12 leading words and pairs of the first 2000 characters of English documents, as its SQL has it; lexical_units_whole reads all."""
     d = table(spark, sf_dir, "documents").where(F.col("lang") == "en")
     return novelty.top_units(d, "doc_id", F.substring("text", 1, 2000), ("the", "and", "for", "was"))
 
 
+@query(
+    "lexical_units_whole",
+    """
+    WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}'), lambda x: x NOT IN ('the', 'and', 'for', 'was')) AS ws FROM documents WHERE lang = 'en'),
+    u AS (SELECT doc_id, unnest(ws) AS unit FROM w UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w) WHERE ws[i] <> ws[i + 1]),
+    c AS (SELECT doc_id, unit, count(*) AS n FROM u GROUP BY ALL)
+    SELECT doc_id, unit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, len(string_split(unit, ' ')) DESC, unit) AS r FROM c) WHERE r <= 12
+    """,
+)
+def lexical_units_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 12 leading words and pairs of English documents, counted over their whole texts.
+
+    Texts are dealt by document once, before they are split: the many units are then counted and ranked where they arise.
+    """
+    d = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text").repartition("doc_id")
+    return novelty.top_units(d, "doc_id", F.col("text"), ("the", "and", "for", "was"))
+
+
 @query(
     "semantic_dedup",
     """
