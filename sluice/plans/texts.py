@@ -204,7 +204,19 @@ def alias_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """,
 )
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes on cycles of a small graph of customers."""
+    """Nodes on cycles of a small graph of the first 40 customers, as its SQL has it; graph_cycles_whole takes all."""
     c = table(spark, sf_dir, "customer").where(F.col("c_custkey") <= 40)
     edges = c.select((F.col("c_custkey") % 30).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 30).alias("dst"))
     return graph.strong_components(edges).select("node").distinct()
+
+
+@query("graph_cycles_whole")
+def graph_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(node, root) of the nodes on cycles of a graph with an edge from every customer, on three nodes to four customers.
+
+    No oracle: recursive SQL makes every pair of nodes with a path.
+    """
+    c = table(spark, sf_dir, "customer")
+    n = max(1, c.count() * 3 // 4)
+    edges = c.select((F.col("c_custkey") % n).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % n).alias("dst"))
+    return graph.strong_components(edges)

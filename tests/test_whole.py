@@ -21,3 +21,17 @@ def test_units_come_from_the_whole_text(spark, tmp_path):
     got = {(r["doc_id"], r["unit"]) for r in QUERIES["lexical_units_whole"](spark, str(tmp_path)).collect()}
     assert got == {(i, u) for i, t in enumerate(texts) for u in plain_units(t or "")}
     assert (0, "mark") in got and early.find("mark") == -1 and len(early) > 2000
+
+
+def test_cycles_of_every_customer(spark, tmp_path):
+    customers = [(k, k * k % 25) for k in range(1, 91)]
+    spark.createDataFrame(customers, "c_custkey long, c_nationkey int").write.parquet(str(tmp_path / "customer.parquet"))
+    n = len(customers) * 3 // 4
+    edges = {(k % n, (k * 7 + m) % n) for k, m in customers}
+    paths = set(edges)
+    while more := {(a, d) for a, b in paths for c, d in edges if b == c} - paths:
+        paths |= more
+    nodes = {a for a, b in paths if a == b}
+    plain = {(a, min(b for b in nodes if b == a or {(a, b), (b, a)} <= paths)) for a in nodes}
+    assert {(r["node"], r["root"]) for r in QUERIES["graph_cycles_whole"](spark, str(tmp_path)).collect()} == plain
+    assert max(nodes) >= 40
