@@ -38,7 +38,7 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: What the Markov model judges.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Rows of the table whose words train the model of ordinary strings, and strings of either class.
+#: Distinct texts of the table, read whole, whose words train the model of ordinary strings, and strings of either class.
 SAMPLE_ROWS, SAMPLE_STRINGS = 300, 4000
 _ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
 #: Words every table's sample is completed with, so that tiny tables train too.
@@ -111,10 +111,12 @@ def train(words: list[str]) -> Markov:
 
 
 def sample_words(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str]:
-    """ASCII words of a bounded sample of rows."""
+    """ASCII words of the whole texts with the `rows` smallest distinct hashes over all rows; no layout of the rows changes them."""
+    hashed = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
+    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]
     found: set[str] = set()
-    for r in docs.select(F.substring(F.col(text), 1, 4000)).sample(fraction=0.2, seed=5).limit(rows).collect():
-        found.update(re.findall(r"\b[A-Za-z]{2,}\b", r[0] or ""))
+    for r in hashed.where(F.col("h").isin(least)).select("t").distinct().collect():
+        found.update(re.findall(r"\b[A-Za-z]{2,}\b", r["t"]))
     return sorted(found)
 
 

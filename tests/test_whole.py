@@ -35,3 +35,15 @@ def test_cycles_of_every_customer(spark, tmp_path):
     plain = {(a, min(b for b in nodes if b == a or {(a, b), (b, a)} <= paths)) for a in nodes}
     assert {(r["node"], r["root"]) for r in QUERIES["graph_cycles_whole"](spark, str(tmp_path)).collect()} == plain
     assert max(nodes) >= 40
+
+
+def test_secret_model_is_trained_alike_on_every_layout(spark):
+    from sluice.llm import secret_scan
+
+    names = ["".join(chr(97 + int(c)) for c in str(1000 + i)) for i in range(400)]
+    rows = [("x" * 9 + " ", ) for _ in range(50)] + [(f"{'pad ' * 1200}tail{n}",) for n in names]
+    one = spark.createDataFrame(rows, "text string").coalesce(1)
+    other = spark.createDataFrame(rows[::-1], "text string").repartition(7)
+    words = secret_scan.sample_words(one)
+    assert words == secret_scan.sample_words(other)
+    assert sum(w.startswith("tail") for w in words) >= secret_scan.SAMPLE_ROWS - 1
