@@ -13,10 +13,11 @@ A document's set holds the distinct `WORDS`-word shingles of its whole, A-Z lowe
 3. Candidates are compared by histograms of their shingles' hashes first: two histograms differ
    in no more places than the sets do, so a pair beyond the bound is no link, at a sixteenth of
    the bytes moved.
-   T-occurrence search (DivideSkip) then runs in units of bounded size: an inverted index over a
-   block of sets; the query's longest lists are set aside, the short ones heap-merged, and what
+   T-occurrence search (DivideSkip) then runs in units of bounded size, each with the sets of
+   many candidates and their many queries: one inverted index a unit, asked by every query of
+   the unit; the query's longest lists are set aside, the short ones heap-merged, and what
    occurs often enough there is looked up in the long lists by binary search until the
-   required overlap is reached or out of reach.
+   required overlap is reached or out of reach. Whatever links in a unit is retained.
 4. Components. Links are first sought between each class and the first one that it shares a
    key with, then between each key's first and last class and its members of other components.
    Keys whose members are then still in several components are searched again: what is
@@ -24,11 +25,16 @@ A document's set holds the distinct `WORDS`-word shingles of its whole, A-Z lowe
    against every block. Pairs within one component need no test, so a group of near copies
    costs searches in proportion to its size, yet no link between components is missed.
 
-All rows of documents are covered; no list, group or key is capped.
+All rows of documents are covered; no list, group or key is capped. A key that a task meets more
+than `HOT` times has its further rows dealt by class over `SALTS` partitions, whose least and
+greatest classes are then combined, so that a key of a third of all rows fills no single task.
 
 Defined results: null and empty texts, and texts without words, have no shingles, link with
-nothing and are their own component; texts of fewer than WORDS words have one shingle; rows
-without doc_id have no component; repeated rows each get their own row; extra columns are ignored.
+nothing and are their own component; texts of fewer than WORDS words have one shingle; very long
+texts are sets like any other, as a whole; rows without doc_id have no component; repeated rows
+each get their own row; rows of one doc_id with different texts are judged each by its own text;
+an empty table gives an empty result; extra columns are ignored by `join` and kept by
+`keep_first`, whatever their names.
 """
 
 from __future__ import annotations
@@ -43,7 +49,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import chunks, map_arrow
+from sluice.llm.common import chunks, free_name, map_arrow
 from sluice.llm.text_stats import mix, split_words
 from sluice.session import cut
 
@@ -55,7 +61,9 @@ BLOCK = 256
 SPARE = 2
 #: Class representatives up to so many have their texts picked by broadcast (16 bytes each), beyond by a shuffle.
 BROADCAST_ROWS = 500_000
-#: Rows of units that are handed to Python at a time.
+#: Rows of one key that a task sends to one partition before it deals the rest over SALTS of them; rows are counted in SLOTS by hash, anew after as many rows.
+HOT, SALTS, SLOTS = 8, 64, 1 << 22
+#: Rows of units that are handed to Python at a time, and of a unit of several queries.
 GROUP = 4000
 #: Bins of a set's histogram, and of the finer one of sets with more shingles than LONG.
 BINS, FINE, LONG = 256, 2048, 1000
@@ -190,23 +198,42 @@ class Index:
 
 
 def _documents(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, n_shingles, cls) of every row; cls is null without shingles."""
+    """(doc_id, mark, n_shingles, cls) of every row; mark is a hash of the text, cls is null without shingles."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        every = batch.column(1).to_pylist()
+        every = batch.column(2).to_pylist()
         for a, b in chunks(every):
             sets = shingle_sets(every[a:b], words)
             n = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(class_ids(sets), mask=n == 0)], names=["doc_id", "n_shingles", "cls"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(class_ids(sets), mask=n == 0)], names=["doc_id", "mark", "n_shingles", "cls"])
 
-    return map_arrow(docs.select(docs[doc_id].cast("long").alias("doc_id"), docs[text].alias("text")), run, "doc_id long, n_shingles long, cls long")
+    rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("text"))
+    return map_arrow(rows, run, "doc_id long, mark long, n_shingles long, cls long")
+
+
+def _salts(key: np.ndarray, cls: np.ndarray, seen: np.ndarray) -> np.ndarray:
+    """0 for the first HOT rows of a key that a task meets, then a number by class; seen counts the rows by slot."""
+    if not len(key):
+        return np.zeros(0, np.int32)
+    slot = (key.view(np.uint64) % np.uint64(len(seen))).astype(np.int64)
+    order = np.argsort(slot, kind="stable")
+    first = np.append(True, np.diff(slot[order]) != 0)
+    start = np.flatnonzero(first)
+    size = np.diff(np.append(start, len(order)))
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order)) - np.repeat(start, size)
+    beyond = place + seen[slot] >= HOT
+    seen[slot[order[start]]] += size.astype(seen.dtype)
+    dealt = 1 + (mix(cls.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
+    return np.where(beyond, dealt, 0).astype(np.int32)
 
 
 def _routes(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
-    """(key, cls) of every row, a class at most once a task while it is remembered."""
+    """(key, salt, cls) of every row, a class at most once a task while it is remembered."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        slots, counted = np.zeros(SLOTS, np.int32), 0
         sizes = Sizes(percent)
         for batch in batches:
             every = batch.column(0).to_pylist()
@@ -221,9 +248,30 @@ def _routes(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
                 if len(seen) > 1_000_000:
                     seen.clear()
                 at, key = routing_keys([sets[i] for i in fresh], sizes)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(cls[np.array(fresh, np.int64)][at])], names=["key", "cls"])
+                own = cls[np.array(fresh, np.int64)][at]
+                if (counted := counted + len(key)) > SLOTS:
+                    slots[:], counted = 0, len(key)
+                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_salts(key, own, slots)), pa.array(own)], names=["key", "salt", "cls"])
+
+    return docs.select(docs[text].alias("text")).mapInArrow(run, "key long, salt int, cls long")
+
+
+def _with(rows: DataFrame, side: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """The rows joined with a side of one row a key: broadcast while its counted size allows, so that a hot key is not gathered in one task."""
+    side = cut(side)
+    return rows.join(F.broadcast(side) if side.count() <= BROADCAST_ROWS else side, on, how)
 
-    return docs.select(docs[text].alias("text")).mapInArrow(run, "key long, cls long")
+
+def _members(routed: DataFrame) -> DataFrame:
+    """(key, cls, lo, hi) of the keys that several classes share, with the key's least and greatest class."""
+    by = Window.partitionBy("key", "salt")
+    local = routed.select("key", "salt", "cls", F.min("cls").over(by).alias("lo"), F.max("cls").over(by).alias("hi"))
+    # A key with salts has at least HOT rows without, so those are among several of one partition or salted.
+    part = cut(local.where((F.col("lo") < F.col("hi")) | (F.col("salt") > 0)).distinct())
+    hot = part.where(F.col("salt") > 0).select("key").distinct()
+    ends = _with(part, hot, "key", "left_semi").groupBy("key").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
+    joined = _with(part, ends, "key", "left").select("key", "cls", F.coalesce("least", "lo").alias("lo"), F.coalesce("most", "hi").alias("hi"))
+    return cut(joined.where(F.col("lo") < F.col("hi")).distinct())
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
@@ -290,7 +338,7 @@ def _search(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         return np.maximum(other, me), np.minimum(other, me)
 
     pairs = cut(_by_unit(units, sets.select("cls", "sketch", F.size("grams").alias("n")), compare, "center", "cls").distinct())
-    return _by_unit(_star_units(pairs), sets.select("cls", "grams"), search, "a", "b").distinct()
+    return _by_unit(_shared_units(pairs), sets.select("cls", "grams"), search, "a", "b").distinct()
 
 
 def _by_unit(units: DataFrame, data: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], a: str, b: str) -> DataFrame:
@@ -346,9 +394,7 @@ def _unit(*columns: str | Column) -> Column:
 
 def link_classes(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the classes that link with another class."""
-    by_key = Window.partitionBy("key")
-    routed = _routes(docs, text, words, percent).select("key", "cls", F.min("cls").over(by_key).alias("lo"), F.max("cls").over(by_key).alias("hi"))
-    members = cut(routed.where(F.col("lo") < F.col("hi")).distinct())
+    members = _members(_routes(docs, text, words, percent))
     classes = rows.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi"))
     sets = _sets(docs, wanted, doc_id, text, words)
@@ -363,7 +409,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text:
     # The first and last class of each key against members that are still in other components.
     roots = cut(components(links))
     ends = members.select(F.explode(F.array("lo", "hi")).alias("center"), "cls").where(F.col("center") != F.col("cls")).distinct()
-    links = found(_star_units(_apart(ends.join(nearest, ["center", "cls"], "left_anti"), roots)), links)
+    links = found(_star_units(cut(_apart(ends.join(nearest, ["center", "cls"], "left_anti"), roots))), links)
     # What keys of four or more classes have left.
     for every in (False, True):
         left = _unresolved(members, cut(components(links)), every)
@@ -384,11 +430,27 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return both.where(F.col("r0") != F.col("r1")).select("center", "cls")
 
 
+def _blocks(pairs: DataFrame) -> DataFrame:
+    """The pairs with the number of blocks that their center's classes need."""
+    many = pairs.groupBy("center").agg(F.ceil(F.count("cls") / BLOCK).alias("blocks")).where(F.col("blocks") > 1)
+    return _with(pairs, many, "center", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+
+
+def _roles(dealt: DataFrame) -> DataFrame:
+    """(unit, cls, role) of (unit, center, cls): centers ask, the others are the index."""
+    return dealt.select("unit", "cls", F.lit(1).alias("role")).unionByName(dealt.select("unit", F.col("center").alias("cls"), F.lit(0).alias("role"))).distinct()
+
+
 def _star_units(pairs: DataFrame) -> DataFrame:
     """Units that ask for each center in blocks of the classes paired with it."""
-    size = pairs.groupBy("center").agg(F.ceil(F.count("cls") / BLOCK).alias("blocks"))
-    dealt = pairs.join(size, "center").select(_unit("center", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("unit"), "center", "cls")
-    return dealt.select("unit", "cls", F.lit(1).alias("role")).unionByName(dealt.select("unit", F.col("center").alias("cls"), F.lit(0).alias("role")).distinct())
+    return _roles(_blocks(pairs).select(_unit("center", F.pmod(F.xxhash64("cls"), F.col("blocks"))).alias("unit"), "center", "cls"))
+
+
+def _shared_units(pairs: DataFrame) -> DataFrame:
+    """Units of many centers with the classes paired with them; a center with more classes than a block has units of its own."""
+    units = max(1, -(-pairs.count() // GROUP))
+    own = _unit("center", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    return _roles(_blocks(pairs).select(F.when(F.col("blocks") > 1, own).otherwise(F.pmod(F.xxhash64("center", F.lit(5)), F.lit(units))).alias("unit"), "center", "cls"))
 
 
 def _unresolved(members: DataFrame, roots: DataFrame, large: bool) -> DataFrame:
@@ -402,42 +464,55 @@ def _unresolved(members: DataFrame, roots: DataFrame, large: bool) -> DataFrame:
     groups = known.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("cls").alias("n"), F.bit_xor(hashed).alias("x"), F.sum(F.shiftright(hashed, 24)).alias("s"))
     groups = groups.where((F.col("r0") < F.col("r1")) & (F.col("n") > (BLOCK if large else 1)))
     once = groups.groupBy("n", "x", "s").agg(F.min("key").alias("key"))
-    return cut(known.join(once.select("key"), "key", "left_semi").select(F.col("key").alias("grp"), "cls", "root"))
+    return cut(_with(known, once.select("key"), "key", "left_semi").select(F.col("key").alias("grp"), "cls", "root"))
 
 
 def _more_units(left: DataFrame, every: bool) -> DataFrame:
     """Units that ask for each class outside its group's largest component: one block of the group, or all of them."""
     count = left.groupBy("grp", "root").agg(F.count("cls").alias("n"))
     main = count.groupBy("grp").agg(F.max_by("root", F.struct("n", "root")).alias("main"), F.ceil(F.sum("n") / BLOCK).alias("blocks"))
-    placed = left.join(main, "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
+    placed = _with(left, main, "grp").withColumn("block", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     index = placed.select("grp", "block", "cls", F.lit(1).alias("role"))
     asked = placed.where(F.col("root") != F.col("main"))
     where = F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1) if every else F.array(F.pmod(F.xxhash64("cls", F.lit(3)), F.col("blocks")))
     queries = asked.select("grp", F.explode(where).alias("block"), "cls", F.lit(0).alias("role"), F.pmod(F.xxhash64("cls", F.lit(9)), F.lit(1 << 20)).alias("part"))
     crowd = queries.groupBy("grp", "block").agg(F.ceil(F.count("cls") / BLOCK).alias("parts"))
-    q = queries.join(crowd, ["grp", "block"]).select(_unit("grp", "block", F.pmod("part", F.col("parts"))).alias("unit"), "cls", "role")
-    i = index.join(crowd, ["grp", "block"]).select("grp", "block", "cls", "role", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
+    crowd = cut(crowd)
+    q = _with(queries, crowd, ["grp", "block"]).select(_unit("grp", "block", F.pmod("part", F.col("parts"))).alias("unit"), "cls", "role")
+    i = _with(index, crowd, ["grp", "block"]).select("grp", "block", "cls", "role", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("p"))
     return q.unionByName(i.select(_unit("grp", "block", "p").alias("unit"), "cls", "role"))
 
 
-def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
+def _rows(docs: DataFrame, doc_id: str, text: str, words: int, percent: int) -> DataFrame:
+    """Per row: doc_id, mark, n_shingles, root (null without shingles) and component_id, the smallest doc_id that links reach."""
     rows = cut(_documents(docs, doc_id, text, words))
     roots = link_classes(docs, rows, doc_id, text, words, percent)
     classes = rows.where(F.col("cls").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("first"))
     rooted = classes.join(roots.select(F.col("node").alias("cls"), "root"), "cls", "left").select("cls", "first", F.coalesce("root", "cls").alias("root"))
-    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "component_id"))
-    out = rows.join(named, "cls", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    named = cut(rooted.join(rooted.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("cls", "root", "component_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id")
+    return rows.join(named, "cls", "left").select("doc_id", "mark", "n_shingles", "root", component)
+
+
+def join(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """Per row: doc_id, n_shingles and component_id, the smallest doc_id that links reach."""
+    return _rows(docs, doc_id, text, words, percent).select("doc_id", "n_shingles", "component_id")
 
 
-def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs without those whose component has a smaller doc_id; rows without doc_id stay, repeated rows stay once."""
-    found = join(docs, doc_id, text)
-    gone = cut(found.where(F.col("component_id") != F.col("doc_id")).select(F.col("doc_id").alias("_gone")).distinct())
+def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """One row of each component: that with the smallest doc_id and, of several texts of this id, the least text hash.
+
+    A row is known by its doc_id and its text together. Rows without doc_id or words stay; equal
+    rows (by doc_id and text) stay once.
+    """
+    found = cut(_rows(docs, doc_id, text, words, percent).where(F.col("doc_id").isNotNull() & F.col("root").isNotNull()).select("doc_id", "mark", "root").distinct())
+    first = found.groupBy("root").agg(F.min(F.struct("doc_id", "mark")).alias("first"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    beyond = _with(found, first, "root").where(F.struct("doc_id", "mark") != F.col("first"))
+    d, m = free_name(docs, "_doc"), free_name(docs, "_mark")
+    gone = cut(beyond.select(F.col("doc_id").alias(d), F.col("mark").alias(m)))
     side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(side, docs[doc_id].cast("long") == F.col("_gone"), "left_anti")
-    twice = docs.where(docs[doc_id].isNotNull()).groupBy(docs[doc_id]).count().where(F.col("count") > 1)
+    kept = docs.join(side, (docs[doc_id].cast("long") == F.col(d)) & (F.xxhash64(docs[text]) == F.col(m)), "left_anti")
+    twice = docs.where(docs[doc_id].isNotNull()).groupBy(docs[doc_id], F.xxhash64(docs[text])).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     if twice.isEmpty():
         return kept
     once = kept.where(kept[doc_id].isNotNull()).dropDuplicates([doc_id, text])

@@ -272,13 +272,13 @@ def test_urls(spark):
 # 10: n-gram join
 
 
-def plain_set(text):
+def plain_set(text, k=4):
     w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
-    return {tuple(w[i : i + 4]) for i in range(len(w) - 3)} if len(w) >= 4 else ({tuple(w)} if w else set())
+    return {tuple(w[i : i + k]) for i in range(len(w) - k + 1)} if len(w) >= k else ({tuple(w)} if w else set())
 
 
-def plain_components(texts, percent=85):
-    sets = [plain_set(t) for t in texts]
+def plain_components(texts, percent=85, k=4):
+    sets = [plain_set(t, k) for t in texts]
     root = list(range(len(texts)))
 
     def find(i):
@@ -294,8 +294,8 @@ def plain_components(texts, percent=85):
     return {i: (len(sets[i]), find(i)) for i in range(len(texts))}
 
 
-@pytest.mark.parametrize("block", [256, 3])
-def test_ngram_join(spark, corpus, block, monkeypatch):
+@pytest.mark.parametrize(("block", "hot", "group"), [(256, 8, 4000), (3, 1, 5)])
+def test_ngram_join(spark, corpus, block, hot, group, monkeypatch):
     rng = random.Random(4)
     chain = words(150, 77).split()
     texts = list(corpus)
@@ -305,7 +305,8 @@ def test_ngram_join(spark, corpus, block, monkeypatch):
         texts.append(" ".join(chain))
     hub = words(100, 78).split()
     texts += [" ".join(f"h{k}" if i in (3 * k % 100, (7 * k + 50) % 100) else w for i, w in enumerate(hub)) for k in range(25)]
-    monkeypatch.setattr(ngram_join, "BLOCK", block)
+    for name, value in (("BLOCK", block), ("HOT", hot), ("GROUP", group)):
+        monkeypatch.setattr(ngram_join, name, value)
     docs = table(spark, texts)
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()}
     assert got == plain_components(texts)
@@ -323,6 +324,26 @@ def test_ngram_join_edges(spark):
     assert ids == [-1, 0, 1, 2, 3, 3, 4, 5, 6, 7, 9]
 
 
+def test_keep_first_knows_rows_by_id_and_text(spark):
+    a, b, c = words(60, 100), words(60, 101), words(60, 102)
+    near = a.replace(a.split()[3], "other")
+    rows = [(3, a), (7, a), (7, b), (9, c), (11, b), (3, near), (None, a), (12, "")]
+    docs = spark.createDataFrame([(i, t, 1, 2, 3, 4) for i, t in rows], "doc_id long, text string, _gone int, _doc int, mark int, root int")
+    kept = ngram_join.keep_first(docs, words=5, percent=80)
+    assert kept.columns == docs.columns
+    got = sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str)
+    one = [(3, a)] if (3, a) in got else [(3, near)]
+    assert got == sorted([*one, (7, b), (9, c), (None, a), (12, "")], key=str)
+
+
+def test_ngram_join_of_one_key_in_most_rows(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "HOT", 2)
+    base = words(60, 200).split()
+    texts = [" ".join([*base, f"x{i}"]) for i in range(120)] + [words(50, 300 + i) for i in range(30)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(table(spark, texts)).collect()}
+    assert got == plain_components(texts)
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(2)
     base = np.arange(200, dtype=np.uint64)

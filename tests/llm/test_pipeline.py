@@ -24,7 +24,7 @@ def test_pipeline(spark, tmp_path):
         if name == "quality rules":
             assert {r["doc_id"] for r in held} == set(range(62))
         if name == "n-gram Jaccard join":
-            comps = plain_components(texts[:62])
+            comps = plain_components(texts[:62], 80, 5)
             assert {r["doc_id"] for r in held} == {c for _, c in comps.values()} == set(range(60))
         if name == "secret scans":
             changed = {r["doc_id"] for r in held if r["text"] != texts[r["doc_id"]]}
