@@ -5,8 +5,9 @@ Sorted leftmost-S suffixes induce all L suffixes in one ascending pass, and thes
 suffixes in one descending pass. The leftmost-S suffixes themselves are sorted by recursion on
 the string of the ranks of the pieces between them. Both passes are driven by a monotone
 priority queue: a tuple (character, arrival, position, common prefix) waits for its character's
-turn. The queue is a row of buckets of neighbouring characters; whatever exceeds the memory
-budget is appended to a scratch file of its bucket and read back when the bucket's turn comes.
+turn. The queue is a row of buckets of neighbouring characters; whenever the waiting tuples exceed the memory
+budget, all of them are written to one run file in the scratch folder, bucket by bucket, and a
+bucket's part of each run is read back when the bucket's turn comes.
 Tuples are taken in blocks: the longest prefix of the waiting tuples that no tuple induced by
 them can come before is handled in one array step.
 
@@ -20,36 +21,57 @@ at the text; only neighbouring leftmost-S suffixes are compared directly. Values
 from __future__ import annotations
 
 import math
-import os
-import shutil
-import tempfile
+import uuid
+from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+from pyarrow import fs
 
 from sluice.llm.text_stats import mix, powers
 
-#: Bytes of waiting tuples held in memory by one queue, and tuples in one step.
-BUDGET, STEP = 64 << 20, 1 << 15
+#: Bytes of waiting tuples held in memory by one queue (12 a tuple), and tuples in one step.
+BUDGET, STEP = 4 << 20, 1 << 15
 #: Alphabets up to this size have a bucket for each character.
 SMALL = 512
 #: Symbols of a piece that are compared as packed words; longer pieces are sorted by induction.
 PACKED = 24
 SHORT = 1 << 10
 #: Strings of ranks up to this length are sorted in memory, longer ones by recursion.
-BASE = 1 << 22
+BASE = 1 << 18
 #: Waiting tuples in one bucket of a queue over a large alphabet: at least so many, else the root of all.
 BUCKET = 64
 _FAR = np.int32(2**31 - 1)
 
 
+@dataclass
+class Scratch:
+    """Where queues write their runs (a URI of a folder that all executors share; None: they hold all in memory), the memory budget of each, and counts of what was done."""
+
+    uri: str | None = None
+    budget: int = BUDGET
+    done: Counter = field(default_factory=Counter)
+
+    def open(self) -> tuple[fs.FileSystem, str] | None:
+        """The file system and folder, or None where this process cannot write there: shards are of bounded size, so that holding their tuples is safe."""
+        if self.uri is None:
+            return None
+        try:
+            return fs.FileSystem.from_uri(self.uri if "://" in self.uri else f"file://{self.uri.removeprefix('file:')}")
+        except (OSError, ValueError, ImportError):
+            return None
+
+
 class Queue:
     """A monotone priority queue of tuples (key, position, value); equal keys leave in order of arrival."""
 
-    def __init__(self, keys: int, width: int, budget: int = BUDGET):
+    def __init__(self, keys: int, width: int, scratch: Scratch):
         self.width = width
         self.held: list[list[np.ndarray]] = [[] for _ in range(-(-keys // width))]
-        self.budget, self.bytes, self.dir = budget, 0, None
+        self.scratch, self.bytes, self.place = scratch, 0, scratch.open()
+        # Of each run its file and where each bucket begins in it.
+        self.runs: list[tuple[str, fs.NativeFile, np.ndarray]] = []
 
     def push(self, key: np.ndarray, pos: np.ndarray, value: np.ndarray) -> None:
         if not len(key):
@@ -64,18 +86,24 @@ class Queue:
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             self.held[bucket[a]].append(rows[:, a:b])
         self.bytes += rows.nbytes
-        if self.bytes > self.budget:
+        if self.place and self.bytes > self.scratch.budget:
             self._spill()
 
     def _spill(self) -> None:
-        if self.dir is None:
-            self.dir = tempfile.mkdtemp(prefix="queue-")
-        for i, parts in enumerate(self.held):
-            if parts:
-                with open(os.path.join(self.dir, str(i)), "ab") as f:
-                    for rows in parts:
-                        np.ascontiguousarray(rows.T).tofile(f)
-                parts.clear()
+        system, folder = self.place
+        path = f"{folder}/run-{uuid.uuid4().hex}"
+        ends = np.zeros(len(self.held) + 1, np.int64)
+        with system.open_output_stream(path) as f:
+            for i, parts in enumerate(self.held):
+                ends[i + 1] = ends[i]
+                if parts:
+                    data = np.ascontiguousarray(np.concatenate(parts, 1).T)
+                    f.write(data.data)
+                    ends[i + 1] += data.nbytes
+                    parts.clear()
+        self.runs.append((path, system.open_input_file(path), ends))
+        self.scratch.done["spills"] += 1
+        self.scratch.done["spilled"] += int(ends[-1])
         self.bytes = 0
 
     def take(self, bucket: int) -> np.ndarray:
@@ -83,15 +111,20 @@ class Queue:
         parts = self.held[bucket]
         self.held[bucket] = []
         self.bytes -= sum(p.nbytes for p in parts)
-        if self.dir and os.path.exists(path := os.path.join(self.dir, str(bucket))):
-            parts.insert(0, np.fromfile(path, np.int32).reshape(-1, 3).T)
-            os.remove(path)
+        spilled = []
+        for _, f, ends in self.runs:
+            if size := int(ends[bucket + 1] - ends[bucket]):
+                f.seek(int(ends[bucket]))
+                spilled.append(np.frombuffer(f.read(size), np.int32).reshape(-1, 3).T)
+        parts = [*spilled, *parts]
         rows = np.concatenate(parts, 1) if parts else np.zeros((3, 0), np.int32)
         return rows if self.width == 1 else rows[:, np.argsort(rows[0], kind="stable")]
 
     def close(self) -> None:
-        if self.dir:
-            shutil.rmtree(self.dir, ignore_errors=True)
+        for path, f, _ in self.runs:
+            f.close()
+            self.place[0].delete_file(path)
+        self.runs = []
 
 
 class _Minima:
@@ -147,7 +180,7 @@ class _Text:
         return self.turn[pos] - pos + 1
 
 
-def _induce(t: _Text, seeds: np.ndarray, seed_values: np.ndarray | None, up: bool, cap: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _induce(t: _Text, seeds: np.ndarray, seed_values: np.ndarray | None, up: bool, cap: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """One pass: the induced suffixes in order of the pass, and each one's common prefix with the one before it.
 
     Ascending passes induce L suffixes from leftmost-S seeds, descending ones S suffixes from L
@@ -160,10 +193,10 @@ def _induce(t: _Text, seeds: np.ndarray, seed_values: np.ndarray | None, up: boo
     # Key and type of each position in one word; the last entry, which position -1 reads, is of neither type.
     packed = np.append(4 * keys + np.where(t.is_s == goal, 1, 0).astype(np.int32), np.int32(0))
     if sigma <= SMALL:
-        return _induce_small(t, keys, packed, seeds, seed_values, up, cap, budget)
+        return _induce_small(t, keys, packed, seeds, seed_values, up, cap, scratch)
 
     width = max(1, -(-sigma * max(BUCKET, math.isqrt(n)) // max(n, 1)))
-    queue = Queue(sigma, width, budget)
+    queue = Queue(sigma, width, scratch)
     minima = _Minima(sigma) if carry else None
     seed_keys = keys[seeds]
     edges = np.searchsorted(seed_keys, np.arange(len(queue.held) + 1) * width)
@@ -241,10 +274,10 @@ def _induce(t: _Text, seeds: np.ndarray, seed_values: np.ndarray | None, up: boo
     return np.concatenate([empty, *out_pos]), np.concatenate([empty, *out_value])
 
 
-def _induce_small(t: _Text, keys: np.ndarray, packed: np.ndarray, seeds: np.ndarray, seed_values: np.ndarray | None, up: bool, cap: int, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _induce_small(t: _Text, keys: np.ndarray, packed: np.ndarray, seeds: np.ndarray, seed_values: np.ndarray | None, up: bool, cap: int, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The pass over a small alphabet: within a character, suffixes are taken in order of arrival, then its seeds."""
     n, sigma, carry = len(t.text), t.sigma, seed_values is not None
-    queue, minima = Queue(sigma, 1, budget), _Minima(sigma)
+    queue, minima = Queue(sigma, 1, scratch), _Minima(sigma)
     edges = np.searchsorted(keys[seeds], np.arange(sigma + 1))
     out_pos, out_value = [], []
     zero = np.zeros(0, np.int32)
@@ -332,12 +365,12 @@ def _ranked_packed(t: _Text, size: np.ndarray, longest: int) -> tuple[np.ndarray
     return piece, np.cumsum(fresh) - 1
 
 
-def _ranked_induced(t: _Text, stop: np.ndarray, size: np.ndarray, budget: int) -> tuple[np.ndarray, np.ndarray]:
+def _ranked_induced(t: _Text, stop: np.ndarray, size: np.ndarray, scratch: Scratch) -> tuple[np.ndarray, np.ndarray]:
     """The same by induction from the unsorted pieces; pieces are compared by a hash of their characters."""
     lms = t.lms
     by_first = lms[np.argsort(t.text[lms], kind="stable")]
-    low, _ = _induce(t, by_first, None, True, 0, budget)
-    high, _ = _induce(t, low[::-1], None, False, 0, budget)
+    low, _ = _induce(t, by_first, None, True, 0, scratch)
+    high, _ = _induce(t, low[::-1], None, False, 0, scratch)
     number = np.full(len(t.text), -1, np.int64)
     number[lms] = np.arange(len(lms))
     piece = number[high[::-1]]
@@ -349,7 +382,7 @@ def _ranked_induced(t: _Text, stop: np.ndarray, size: np.ndarray, budget: int) -
     return piece, np.cumsum(fresh) - 1
 
 
-def _sorted_lms(t: _Text, budget: int) -> np.ndarray:
+def _sorted_lms(t: _Text, scratch: Scratch) -> np.ndarray:
     """The leftmost-S suffixes in order: by recursion on the ranks of the pieces between them."""
     lms = t.lms
     if len(lms) < 2:
@@ -359,13 +392,16 @@ def _sorted_lms(t: _Text, budget: int) -> np.ndarray:
     if (long := size.max()) <= PACKED or len(lms) < SHORT:
         piece, rank = _ranked_packed(t, size, int(long))
     else:
-        piece, rank = _ranked_induced(t, stop, size, budget)
+        piece, rank = _ranked_induced(t, stop, size, scratch)
     order = lms[piece]
     if rank[-1] == len(lms) - 1:
         return order
     names = np.empty(len(lms), np.int64)
     names[piece] = rank
-    return lms[_doubled(names) if len(names) <= BASE else suffix_array(names, budget)]
+    if len(names) <= BASE:
+        return lms[_doubled(names)]
+    scratch.done["recursions"] += 1
+    return lms[suffix_array(names, scratch)]
 
 
 def _doubled(rank: np.ndarray) -> np.ndarray:
@@ -383,11 +419,12 @@ def _doubled(rank: np.ndarray) -> np.ndarray:
         size *= 2
 
 
-def suffix_array(text: np.ndarray, budget: int = BUDGET) -> np.ndarray:
+def suffix_array(text: np.ndarray, scratch: Scratch | None = None) -> np.ndarray:
     """Positions of all suffixes in order; the end of the text is smaller than any character."""
+    scratch = scratch or Scratch()
     t = _Text(text)
-    low, _ = _induce(t, _sorted_lms(t, budget), None, True, 0, budget)
-    high, _ = _induce(t, low[::-1], None, False, 0, budget)
+    low, _ = _induce(t, _sorted_lms(t, scratch), None, True, 0, scratch)
+    high, _ = _induce(t, low[::-1], None, False, 0, scratch)
     both = np.concatenate([low, high[::-1]])
     return both[_merged(t, low, high[::-1])]
 
@@ -408,15 +445,16 @@ def _compared(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.nd
     return out
 
 
-def suffix_and_lcp(text: np.ndarray, cap: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def suffix_and_lcp(text: np.ndarray, cap: int, scratch: Scratch | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The suffix array, and each suffix's common prefix with the one before it, up to cap."""
+    scratch = scratch or Scratch()
     t = _Text(text)
-    lms = _sorted_lms(t, budget)
+    lms = _sorted_lms(t, scratch)
     values = np.append(0, _compared(text, lms[:-1], lms[1:], cap)) if len(lms) else np.zeros(0, np.int64)
-    low, low_lcp = _induce(t, lms, values, True, cap, budget)
+    low, low_lcp = _induce(t, lms, values, True, cap, scratch)
     # Descending, an L suffix follows the next greater one.
     down = np.append(low_lcp[1:], 0)[::-1] if len(low) else low_lcp
-    high, high_lcp = _induce(t, low[::-1], down, False, cap, budget)
+    high, high_lcp = _induce(t, low[::-1], down, False, cap, scratch)
     # Ascending again: each S suffix has the value of the next smaller one.
     s, s_lcp = high[::-1], np.append(0, high_lcp[::-1][:-1]) if len(high) else high_lcp
     both, lcp = np.concatenate([low, s]), np.concatenate([low_lcp, s_lcp])
@@ -431,12 +469,12 @@ def suffix_and_lcp(text: np.ndarray, cap: int, budget: int = BUDGET) -> tuple[np
     return both, lcp
 
 
-def repeated_windows(text: np.ndarray, left: np.ndarray, length: int, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repeated_windows(text: np.ndarray, left: np.ndarray, length: int, scratch: Scratch | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The windows (positions with at least `length` characters of their string left) in suffix order, a class number each, and whether the class has another member.
 
     Strings are separated by a character that no window holds, so a common prefix of `length` is inside both strings.
     """
-    sa, lcp = suffix_and_lcp(text, length, budget)
+    sa, lcp = suffix_and_lcp(text, length, scratch)
     group = np.cumsum(lcp < length)
     window = left[sa] >= length
     sa, group = sa[window], group[window]

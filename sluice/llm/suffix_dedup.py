@@ -10,14 +10,19 @@ text or another, is marked. Texts are UTF-8 bytes, taken whole; strings never cr
 2. The distinct contents of all other repeated minimizers are dealt to shards of bounded size,
    each minimizer to one shard. A shard's suffix and LCP arrays come from induced sorting with
    disk-backed priority queues that carry common-prefix values; windows whose neighbours share
-   `LENGTH` bytes are repeats.
+   `LENGTH` bytes are repeats. Queues hold `induced_sort.BUDGET` bytes, far less than a shard's
+   tuples, and write the rest to the folder that all executors share.
 3. A minimizer with more than `HOT` distinct contents is spread over several shards. Each shard
    then also gives one 64-bit hash for each class of equal windows of such minimizers; windows
    that are alone in their shard are repeats if another shard has their class.
 
+Contents and classes are known by their minimizer and a hash of their bytes, 64 bits each, and are
+only ever compared within one minimizer; texts by 64 bits.
+
 Defined results: null and empty texts have no bytes and no spans; texts below LENGTH bytes have
-no spans; each row counts, so repeated rows repeat each other; rows without doc_id are kept;
-extra columns are ignored.
+no spans; very long texts are cut into runs like any other, whole; each row counts, so repeated
+rows repeat each other; rows without doc_id are kept, and rows that share a doc_id are each
+judged by their own text; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,14 +33,14 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sluice.llm.common import chunks, map_arrow
-from sluice.llm.induced_sort import blocks, repeated_windows
+from sluice.llm.induced_sort import Scratch, blocks, repeated_windows
 from sluice.llm.substrings import GRAM, runs
 from sluice.llm.text_stats import mix, powers
-from sluice.session import cut
+from sluice.session import cut, shared_dir
 
 #: Bytes of a repeated string: fixed by the contract.
 LENGTH = 200
@@ -71,20 +76,21 @@ def _picked(rows: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _pieces(rows: DataFrame, contents: DataFrame) -> DataFrame:
-    """(content, piece): the bytes of each content, cut from the text it was first seen in."""
-    wanted = cut(contents.groupBy(F.col("at.tid").alias("tid")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.bytes").alias("bytes"), "content")).alias("cuts")))
+    """(key, content, piece): the bytes of each content, cut from the text it was first seen in."""
+    wanted = cut(contents.groupBy(F.col("at.tid").alias("tid")).agg(F.collect_list(F.struct(F.col("at.start").alias("start"), F.col("at.bytes").alias("bytes"), "key", "content")).alias("cuts")))
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        names, pieces = [], []
+        keys, names, pieces = [], [], []
         for text, cuts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             raw = text.encode("utf-8", "surrogatepass")
             for c in cuts:
+                keys.append(c["key"])
                 names.append(c["content"])
                 pieces.append(raw[c["start"] : c["start"] + c["bytes"]])
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(pieces, pa.binary())], names=["content", "piece"])
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(names, pa.int64()), pa.array(pieces, pa.binary())], names=["key", "content", "piece"])
 
     # Copies of a text give the same pieces.
-    return map_arrow(_picked(rows, wanted).select("text", "cuts"), run, "content long, piece binary").groupBy("content").agg(F.first("piece").alias("piece"))
+    return map_arrow(_picked(rows, wanted).select("text", "cuts"), run, "key long, content long, piece binary").groupBy("key", "content").agg(F.first("piece").alias("piece"))
 
 
 def _spans(offsets: np.ndarray, length: int) -> list[dict[str, int]]:
@@ -97,16 +103,16 @@ def _spans(offsets: np.ndarray, length: int) -> list[dict[str, int]]:
     return [{"a": x, "b": y} for x, y in zip(a.tolist(), b.tolist(), strict=True)]
 
 
-def _sorted_shards(pieces: DataFrame, length: int) -> DataFrame:
-    """Repeats of each shard: (content, spans); of spread minimizers also (class) a class, and (class, content, offset) a window alone in its shard."""
+def _sorted_shards(pieces: DataFrame, length: int, scratch: str | None) -> DataFrame:
+    """Repeats of each shard: (key, content, spans); of spread minimizers also (key, class) a class, and (key, content, class, offset) a window alone in its shard."""
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         text, left = next(blocks(rows["piece"].tolist()))
-        sa, group, more = repeated_windows(text, left, length)
+        sa, group, more = repeated_windows(text, left, length, Scratch(scratch))
         sizes = rows["piece"].str.len().to_numpy() + 1
         begin = np.cumsum(sizes) - sizes
         which = np.searchsorted(begin, sa, "right") - 1
-        content, spread, copies = rows["content"].to_numpy(), rows["spread"].to_numpy(bool), rows["copies"].to_numpy()
+        key, content, spread, copies = rows["key"].to_numpy(), rows["content"].to_numpy(), rows["spread"].to_numpy(bool), rows["copies"].to_numpy()
         repeat = more | (copies[which] > 1)
         out = []
         hit = np.flatnonzero(repeat)
@@ -114,20 +120,23 @@ def _sorted_shards(pieces: DataFrame, length: int) -> DataFrame:
         edges = np.append(np.flatnonzero(np.diff(which[hit], prepend=-1)), len(hit)).tolist()
         for a, b in zip(edges[:-1], edges[1:], strict=True):
             w = which[hit[a]]
-            out.append((content[w], _spans(sa[hit[a:b]] - begin[w], length), None, None))
+            out.append((key[w], content[w], _spans(sa[hit[a:b]] - begin[w], length), None, None))
         wide = np.flatnonzero(spread[which])
         if len(wide):
             power, inverse = powers(len(text) + 1)
             total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((text.astype(np.uint64) + np.uint64(1)) * power[: len(text)], dtype=np.uint64)])
             at = sa[wide].astype(np.int64)
             name = mix((total[at + length] - total[at]) * inverse[at]).view(np.int64)
+            own = key[which[wide]]
             first = np.unique(group[wide], return_index=True)[1]
-            out += [(None, None, h, None) for h in name[first].tolist()]
+            out += [(k, None, None, h, None) for k, h in zip(own[first].tolist(), name[first].tolist(), strict=True)]
             alone = ~repeat[wide]
-            out += list(zip(content[which[wide]][alone].tolist(), [None] * int(alone.sum()), name[alone].tolist(), (at - begin[which[wide]])[alone].tolist(), strict=True))
-        return pd.DataFrame({"content": pd.array([x[0] for x in out], "Int64"), "spans": [x[1] for x in out], "class": pd.array([x[2] for x in out], "Int64"), "offset": pd.array([x[3] for x in out], "Int32")})
+            n = int(alone.sum())
+            out += list(zip(own[alone].tolist(), content[which[wide]][alone].tolist(), [None] * n, name[alone].tolist(), (at - begin[which[wide]])[alone].tolist(), strict=True))
+        whole = {"key": "int64", "content": "Int64", "spans": object, "class": "Int64", "offset": "Int32"}
+        return pd.DataFrame({c: [x[i] for x in out] if c == "spans" else pd.array([x[i] for x in out], t) for i, (c, t) in enumerate(whole.items())})
 
-    return pieces.groupBy("shard").applyInPandas(run, f"content long, spans {_SPANS}, class long, offset int")
+    return pieces.groupBy("shard").applyInPandas(run, f"key long, content long, spans {_SPANS}, class long, offset int")
 
 
 def _merged(spans: DataFrame) -> DataFrame:
@@ -151,25 +160,28 @@ def _merged(spans: DataFrame) -> DataFrame:
 def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH, gram: int = GRAM, shard: int = SHARD, hot: int = HOT) -> DataFrame:
     """(tid, spans, n_spans, n_removed) of each text with a repeat: byte intervals, end exclusive, maximal and in order."""
     rows = texts(docs, text)
-    found = _runs(rows, length, gram)
+    # Read twice, made once.
+    found = cut(_runs(rows, length, gram))
     keys = found.groupBy("key").agg(F.count("key").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"), F.max("twice").alias("any_twice"))
     keys = keys.where((F.col("n") > 1) | F.col("any_twice")).select("key", ((F.col("lo") != F.col("hi")) | F.col("any_twice")).alias("mixed"))
     # Runs that can hold repeats; where a minimizer has one content, all of them are copies.
     kept = cut(found.drop("twice").join(keys, "key"))
     at = F.struct("tid", "start", (F.col("windows") + length - 1).alias("bytes"))
-    contents = kept.where("mixed").groupBy("content", "key").agg(F.count("key").alias("copies"), F.min(at).alias("at"))
-    contents = cut(contents.withColumn("of_key", F.count("key").over(Window.partitionBy("key"))))
+    contents = cut(kept.where("mixed").groupBy("content", "key").agg(F.count("key").alias("copies"), F.min(at).alias("at")))
+    # Few minimizers have more contents than a shard: their number comes to the rows by broadcast, so no task gathers them.
+    many = cut(contents.groupBy("key").agg(F.ceil(F.count("key") / hot).alias("salts")).where(F.col("salts") > 1))
     total = contents.agg(F.coalesce(F.sum("at.bytes"), F.lit(0)).alias("n")).first()["n"]
     shards = max(1, -(-total // shard))
-    salts = F.ceil(F.col("of_key") / hot)
-    dealt = contents.select("content", "copies", (salts > 1).alias("spread"), F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("content"), salts)), F.lit(shards)).alias("shard"))
-    marked = cut(_sorted_shards(dealt.join(_pieces(rows, contents), "content"), length))
-    shared = marked.where(F.col("class").isNotNull() & F.col("content").isNull()).groupBy("class").count().where(F.col("count") > 1)
-    alone = marked.where(F.col("offset").isNotNull()).select("class", "content", "offset").join(shared.select("class"), "class", "left_semi")
-    by_content = marked.where(F.col("spans").isNotNull()).select("content", F.explode("spans").alias("s")).unionByName(alone.select("content", F.struct(F.col("offset").alias("a"), (F.col("offset") + length).alias("b")).alias("s")))
-    by_content = by_content.groupBy("content").agg(F.collect_list("s").alias("s"))
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    salted = contents.join(F.broadcast(many) if many.count() <= BROADCAST_ROWS else many, "key", "left")
+    dealt = salted.select("key", "content", "copies", (salts > 1).alias("spread"), F.pmod(F.xxhash64("key", F.pmod(F.xxhash64("content"), salts)), F.lit(shards)).alias("shard"))
+    marked = cut(_sorted_shards(dealt.join(_pieces(rows, contents), ["key", "content"]), length, shared_dir(docs.sparkSession)))
+    shared = marked.where(F.col("class").isNotNull() & F.col("content").isNull()).groupBy("key", "class").count().where(F.col("count") > 1)
+    alone = marked.where(F.col("offset").isNotNull()).select("key", "class", "content", "offset").join(shared.select("key", "class"), ["key", "class"], "left_semi")
+    by_content = marked.where(F.col("spans").isNotNull()).select("key", "content", F.explode("spans").alias("s")).unionByName(alone.select("key", "content", F.struct(F.col("offset").alias("a"), (F.col("offset") + length).alias("b")).alias("s")))
+    by_content = by_content.groupBy("key", "content").agg(F.collect_list("s").alias("s"))
     whole = kept.where(~F.col("mixed")).select("tid", F.struct(F.col("start").alias("a"), (F.col("start") + F.col("windows") + length - 1).alias("b")).alias("s")).distinct()
-    inside = kept.where("mixed").select("tid", "start", "content").distinct().join(by_content, "content").select("tid", "start", F.explode("s").alias("s"))
+    inside = kept.where("mixed").select("tid", "start", "key", "content").distinct().join(by_content, ["key", "content"]).select("tid", "start", F.explode("s").alias("s"))
     inside = inside.select("tid", F.struct((F.col("start") + F.col("s.a")).alias("a"), (F.col("start") + F.col("s.b")).alias("b")).alias("s"))
     return _merged(whole.unionByName(inside).groupBy("tid").agg(F.collect_list("s").alias("spans")))
 
