@@ -1,21 +1,30 @@
 """Mixing sources to target weights by Pareto order sampling.
 
 Each source gets a share of the total size by its weight, at most `most` times its own size;
-what is cut off is reshared by weight among the others. Within a source a document's expected
-number of copies is target / size, times its relative weight if a weight column is given.
-The whole part is allocated with certainty; for the fractional part p, the inclusion
-probability of one more copy, documents are ranked by the odds of a fixed random number over
-the inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in that order until the source's
-words are used up, the last one where it brings the total nearer. u is a hash of the row, so
-reruns agree.
-
-All of it is DataFrame work. No source is sorted as a whole: ranks fall into `BINS` bins, whose
-sizes are summed with partial aggregation; only the one bin of each source where its words run
-out is ordered row by row.
-
-Defined results: null texts have size 0 and are never taken; a null source is a source of its
-own, last in order; repeated rows share their rank and are taken one by one; an empty table
-gives an empty result; extra columns pass through `mix` and never collide with its own.
+what is cut off is reshared by weight among the others. Within a source documents have unequal
+expected numbers of copies: level * weight, at most `most`, where the level is such that the
+expected words of the source are its target, so what a document's cap cuts off goes to the others
+of its source. The weight is a column, or by default the binary length of the document's size:
+longer documents are likelier, far less than in proportion.
+
+The whole part of the expected copies is allocated with certainty; for the fractional part p,
+the inclusion probability of one more copy, documents are ranked by the odds of a fixed random
+number over the inclusion odds, (u / (1 - u)) / (p / (1 - p)), and taken in that order until the
+source's words are used up, the last one where it brings the total nearer. u is a hash of the
+row, so reruns agree.
+
+All of it is DataFrame work. The level of a source comes from its words by weight (weights are
+rounded to three digits, so that a source has few), and no source is sorted as a whole: ranks
+fall into `BINS` bins, whose sizes are summed with partial aggregation; only the one bin of each
+source where its words run out is ordered row by row. The table of the sources, a row each, is
+ordered in one task.
+
+Defined results: null texts have size 0 and are never taken, and so are documents with a weight
+that is null, 0 or below; a source whose documents of positive weight cannot reach its target even
+with `most` copies falls short of it; a very long text is one document, taken whole or not; a null
+source is a source of its own, last in order; a null doc_id is a value like any other; repeated
+rows share their rank and are taken one by one; an empty table gives an empty result; extra
+columns pass through `mix` and never collide with its own.
 """
 
 from __future__ import annotations
@@ -66,20 +75,44 @@ def random_number(*keys: Column) -> Column:
     return (F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") + 0.5) / float(2**48)
 
 
+def rounded(weight: Column) -> Column:
+    """A weight to three digits; 0 where it is null, not a number, or not positive."""
+    scale = F.pow(F.lit(10.0), 2 - F.floor(F.log10(weight)))
+    return F.when((weight > 0) & (weight < float("inf")), F.round(weight * scale) / scale).otherwise(0.0)
+
+
+def _levelled(goals: DataFrame, levels: DataFrame, most: int) -> DataFrame:
+    """The goals with the level of each source: expected copies are level * weight, at most `most`, and their words are the target.
+
+    With weights in falling order, the level is that of the first weight that is not held down when all before it are.
+    """
+    other = goals.withColumnRenamed("source", "_s")
+    both = levels.where(F.col("rel") > 0).join(other, F.col("source").eqNullSafe(F.col("_s")))
+    by = Window.partitionBy("_s").orderBy(F.desc("rel"))
+    held = F.coalesce(F.sum("words").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) * most
+    rest = F.sum(F.col("words") * F.col("rel")).over(by.rowsBetween(0, Window.unboundedFollowing))
+    tried = both.withColumn("level", F.when(rest > 0, (F.col("target") - held) / rest))
+    found = tried.groupBy("_s").agg(F.coalesce(F.max(F.when(F.col("level") * F.col("rel") <= most, F.col("level"))), F.lit(float("inf"))).alias("level"))
+    return goals.join(found, F.col("source").eqNullSafe(F.col("_s")), "left").drop("_s")
+
+
 def plan(docs: DataFrame, source: str = "source", text: str = "text", key: str = "doc_id", weights: tuple[int, ...] = WEIGHTS, most: int = MOST, weight: Column | None = None, seed: str = "mix", keep: bool = False) -> DataFrame:
-    """Per row: doc_id, size, source_size, target and copies; with keep, the rows' own columns as the struct `row` too."""
+    """Per row: doc_id, size, source_size, target and copies; with keep, the rows' own columns as the struct `row` too. weight: relative weights of the documents; None: the binary length of their sizes."""
+    own = word_count(docs[text])
     rows = docs.select(
         docs[key].cast("long").alias("doc_id"),
         docs[source].cast("string").alias("source"),
-        word_count(docs[text]).alias("size"),
+        own.alias("size"),
         random_number(F.lit(seed), docs[key], F.md5(F.coalesce(docs[text], F.lit("")))).alias("u"),
-        (F.lit(1.0) if weight is None else F.greatest(F.coalesce(weight.cast("double"), F.lit(0.0)), F.lit(0.0))).alias("rel"),
+        *([] if weight is None else [weight.cast("double").alias("w")]),
         *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if keep else []),
     )
+    rows = rows.withColumn("rel", rounded(F.length(F.bin("size")).cast("double") if weight is None else F.col("w"))).drop("w")
     if not keep:
         rows = cut(rows)
-    sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.sum(F.col("size") * F.col("rel")).alias("rel_size"))
-    goals = cut(targets(sizes.select("source", "source_size"), weights, most).join(sizes.select(F.col("source").alias("s"), "rel_size"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
+    levels = cut(rows.groupBy("source", "rel").agg(F.sum("size").alias("words")))
+    goals = targets(levels.groupBy("source").agg(F.sum("words").alias("source_size")), weights, most)
+    goals = cut(_levelled(goals, levels, most))
     small = goals.count() <= BROADCAST_SOURCES
     hint = F.broadcast if small else (lambda df: df)
 
@@ -87,7 +120,7 @@ def plan(docs: DataFrame, source: str = "source", text: str = "text", key: str =
         other = goal.withColumnRenamed("source", "_s")
         return df.join(hint(other), df["source"].eqNullSafe(other["_s"]), "left").drop("_s")
 
-    expected = F.when((F.col("size") > 0) & (F.col("rel_size") > 0), F.least(F.lit(float(most)), F.col("target") * F.col("rel") / F.col("rel_size"))).otherwise(0.0)
+    expected = F.when((F.col("size") > 0) & (F.col("rel") > 0), F.least(F.lit(float(most)), F.col("level") * F.col("rel"))).otherwise(0.0)
     certain = F.floor(expected + 1e-12).cast("long")
     p = F.greatest(F.lit(0.0), expected - certain)
     u, odds = F.col("u"), F.col("p") / (1 - F.col("p"))
