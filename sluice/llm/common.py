@@ -50,6 +50,21 @@ def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, i
         yield start, len(texts)
 
 
+def sample_texts(docs: DataFrame, text: str, rows: int, size: int) -> list[str]:
+    """The whole texts with the `rows` smallest distinct hashes over all rows, as far as they hold `size` bytes together; no layout of the rows changes them."""
+    hashed = docs.select(docs[text].alias("t")).where(F.col("t") != "").withColumn("h", F.xxhash64("t"))
+    least = hashed.groupBy("h").agg(F.max(F.octet_length("t")).alias("n")).orderBy("h").limit(rows).collect()
+    taken, left = [], size
+    for r in least:
+        if r["n"] <= left:
+            taken.append(r["h"])
+            left -= r["n"]
+    if not taken:
+        return []
+    found = hashed.where(F.col("h").isin(taken)).groupBy("h").agg(F.min("t").alias("t")).collect()
+    return [r["t"] for r in sorted(found, key=lambda r: r["h"])]
+
+
 def word_count(text: Column) -> Column:
     """Words of a text as a long; null has none."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

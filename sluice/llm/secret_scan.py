@@ -1,17 +1,20 @@
 """Secret scans: fixed patterns, and a character Markov model for strings that look random.
 
-Two order-2 character models are trained on labelled samples: random strings (keys over the
-usual alphabets) and ordinary identifiers and words (from a bounded sample of the table's own
-words, of which secrets are a vanishing part, and compound identifiers made of them). A token
-of 20 or more key characters that mixes letters and digits is a secret if the mean
-log-likelihood ratio per character is above a threshold, which is set on held-out samples so
-that none of the ordinary ones passes.
+Two order-2 character models are trained on labelled samples. Random strings: the secrets that the
+fixed patterns mark in a bounded sample of the table's texts, and keys drawn over the usual
+alphabets. Ordinary strings: all other words of those texts, and compound identifiers made of
+them. The sample is of whole texts, chosen by hash over all rows, so no layout changes it. A token
+of 20 or more key characters is a secret if its mean log-likelihood ratio a character is above a
+threshold, which is set on held-out samples, made of words that the models have not seen, so that
+none of the ordinary ones passes; tokens without digits have a threshold of their own. `measure` gives precision and recall on samples that the model has not seen.
 
 Spans are code points of the text, end exclusive. A token that overlaps a span of a fixed
 pattern is not reported again.
 
-Defined results: null and empty texts have no spans (the digest is that of the empty string);
-repeated rows each get their own row; a null doc_id is kept; extra columns are ignored.
+Defined results: null and empty texts have no spans (the digest is that of the empty string); very
+long texts are scanned whole, in time in proportion to their length; spans of different kinds may
+overlap, and all are given; repeated rows each get their own row; a null doc_id is kept; an empty
+table gives an empty result; extra columns are ignored by `scan` and kept by `redact`.
 """
 
 from __future__ import annotations
@@ -19,6 +22,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -27,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import map_arrow
+from sluice.llm.common import map_arrow, sample_texts
 
 #: Patterns and least lengths: fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -38,11 +42,17 @@ KINDS = ("assign", "access", "hex", "random")
 _ASSIGN_WORDS = ("passw", "secret", "token", "apikey", "api_key")
 #: What the Markov model judges.
 TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: Distinct texts of the table, read whole, whose words train the model of ordinary strings, and strings of either class.
-SAMPLE_ROWS, SAMPLE_STRINGS = 300, 4000
+#: Distinct texts of the table, read whole, and their bytes together, that train the models, and strings of either class.
+SAMPLE_ROWS, SAMPLE_BYTES, SAMPLE_STRINGS = 300, 16_000_000, 4000
 _ALPHABETS = ("0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789-_")
-#: Words every table's sample is completed with, so that tiny tables train too.
-_COMMON = "get set user name value index list config service request response handler client server data model update create delete page item file path test build version time date number count total order event status message default public private static return import export string object array".split()
+#: Common words that every table's sample is completed with, so that tiny tables train too.
+_COMMON = (
+    "get set user name value index list config service request response handler client server data model update create delete page item file path test build version time date number count total order event status message "
+    "default public private static return import export string object array information application configuration international document documents organization management development environment authentication "
+    "description available different government education experience university community technology performance relationship understanding transaction notification implementation registration generation "
+    "first second third which there about would their other after between because through another without against during something everything language question picture system program process project product "
+    "customer account payment address country history library science quality security network storage memory worker thread window button screen column table record schema source target output input filter search"
+).split()
 _CODE = np.full(128, 64, np.int64)
 for _i, _c in enumerate("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"):
     _CODE[ord(_c)] = _i
@@ -60,12 +70,13 @@ class Markov:
 
     ratio: np.ndarray
     threshold: float = 0.0
+    letters: float = 0.0
 
     def score(self, token: str) -> float:
         return float(self.ratio[_pairs(token)].mean())
 
     def is_secret(self, token: str) -> bool:
-        return any(map(str.isdigit, token)) and any(map(str.isalpha, token)) and self.score(token) > self.threshold
+        return self.score(token) > (self.threshold if any(map(str.isdigit, token)) else self.letters)
 
 
 def _log_model(strings: list[str]) -> np.ndarray:
@@ -80,11 +91,11 @@ def _log_model(strings: list[str]) -> np.ndarray:
     return np.log(p3)
 
 
-def samples(words: list[str], seed: int = 11, n: int = SAMPLE_STRINGS) -> tuple[list[str], list[str]]:
-    """Labelled strings: random ones, and identifiers made of ordinary words."""
+def samples(words: list[str], secrets: list[str] | None = None, seed: int = 11, n: int = SAMPLE_STRINGS) -> tuple[list[str], list[str]]:
+    """Labelled strings: random ones with the given secrets, and identifiers made of ordinary words, with the long words themselves."""
     rng = random.Random(seed)
-    positive = ["".join(rng.choices(_ALPHABETS[i % len(_ALPHABETS)], k=rng.randint(20, 64))) for i in range(n)]
-    pool = sorted({w for w in words if w.isascii() and w.isalpha()}) + _COMMON
+    positive = ["".join(rng.choices(_ALPHABETS[i % len(_ALPHABETS)], k=rng.randint(20, 64))) for i in range(n)] + (secrets or [])
+    pool = sorted(set(words))
     negative = []
     for i in range(n):
         parts = [rng.choice(pool) for _ in range(rng.randint(3, 7))]
@@ -98,26 +109,48 @@ def samples(words: list[str], seed: int = 11, n: int = SAMPLE_STRINGS) -> tuple[
         if i % 3 == 0:
             made += ("_", "-", "")[i % 9 // 3] + str(rng.randint(0, 2100))
         negative.append(made if len(made) >= 20 else made + "_" + "_".join(rng.choice(pool) for _ in range(4)))
+    rng.shuffle(positive)
     return positive, negative
 
 
-def train(words: list[str]) -> Markov:
-    """Fit on four fifths of the samples; the threshold is above every ordinary string of the last fifth."""
-    positive, negative = samples(words)
-    k = len(positive) * 4 // 5
-    model = Markov(_log_model(positive[:k]) - _log_model(negative[:k]))
-    model.threshold = max(0.3, max(map(model.score, negative[k:])) + 0.1)
+def train(words: list[str], secrets: list[str] | None = None) -> Markov:
+    """Fit on the samples of four fifths of the words; the thresholds are above every ordinary string of the others."""
+    own = sorted({w for w in words if w.isascii() and w.isalpha()} | set(_COMMON))
+    seen, unseen = ([w for w in own if (zlib.crc32(w.lower().encode()) % 5 == 0) == held] for held in (False, True))
+    positive, negative = samples(seen, secrets)
+    # Single words too: what is ordinary within a word is so anywhere.
+    model = Markov(_log_model(positive) - _log_model(negative + seen))
+    _, fresh = samples(unseen, seed=12)
+    numbered = [any(map(str.isdigit, x)) for x in fresh]
+    model.threshold, model.letters = (max(0.3, max(model.score(x) for x, n in zip(fresh, numbered, strict=True) if n == digits) + 0.1) for digits in (True, False))
     return model
 
 
-def sample_words(docs: DataFrame, text: str = "text", rows: int = SAMPLE_ROWS) -> list[str]:
-    """ASCII words of the whole texts with the `rows` smallest distinct hashes over all rows; no layout of the rows changes them."""
-    hashed = docs.select(F.col(text).alias("t")).where(F.col("t").isNotNull()).withColumn("h", F.xxhash64("t"))
-    least = [r["h"] for r in hashed.select("h").distinct().orderBy("h").limit(rows).collect()]
-    found: set[str] = set()
-    for r in hashed.where(F.col("h").isin(least)).select("t").distinct().collect():
-        found.update(re.findall(r"\b[A-Za-z]{2,}\b", r["t"]))
-    return sorted(found)
+def measure(model: Markov, positive: list[str], negative: list[str]) -> tuple[float, float]:
+    """Precision and recall of the model on labelled strings; both 1 where nothing is asked for."""
+    hit, false = sum(map(model.is_secret, positive)), sum(map(model.is_secret, negative))
+    return (hit / (hit + false) if hit + false else 1.0), (hit / len(positive) if positive else 1.0)
+
+
+def labelled_words(texts: list[str]) -> tuple[list[str], list[str]]:
+    """(ordinary words, secrets) of texts: key characters within the fixed patterns' spans, and words outside of them."""
+    ordinary: set[str] = set()
+    secrets: set[str] = set()
+    for text in texts:
+        done = 0
+        for a, kind, b in base_spans(text):
+            value = ASSIGN.search(text, a).group(2) if kind == 0 else text[a:b]
+            if len(value) >= 16:
+                secrets.add(value.replace(".", "-"))
+            ordinary.update(re.findall(r"\b[A-Za-z]{2,}\b", text[done:a]))
+            done = max(done, b)
+        ordinary.update(re.findall(r"\b[A-Za-z]{2,}\b", text[done:]))
+    return sorted(ordinary), sorted(secrets)
+
+
+def fitted(docs: DataFrame, text: str = "text") -> Markov:
+    """The model of a table."""
+    return train(*labelled_words(sample_texts(docs, text, SAMPLE_ROWS, SAMPLE_BYTES)))
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -134,10 +167,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def all_spans(text: str, base: list[tuple[int, int, int]], model: Markov) -> list[tuple[int, int, int]]:
     """The base spans and those of random tokens that overlap none of them."""
-    more = []
+    more, at, reach = [], 0, 0
     for m in TOKEN.finditer(text):
         a, b = m.span()
-        if not any(s < b and a < e for s, _, e in base) and model.is_secret(m.group()):
+        while at < len(base) and base[at][0] < b:
+            reach = max(reach, base[at][2])
+            at += 1
+        # Spans that begin before the token's end reach into it, or end before it.
+        if reach <= a and model.is_secret(m.group()):
             more.append((a, 3, b))
     return sorted(base + more)
 
@@ -148,7 +185,7 @@ def join_spans(spans: list[tuple[int, int, int]]) -> str:
 
 def scan(docs: DataFrame, model: Markov | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: doc_id, spans of each fixed kind, the digest of the base spans, and all spans."""
-    found = model or train(sample_words(docs, text))
+    found = model or fitted(docs, text)
     schema = "doc_id long, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string"
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
@@ -166,7 +203,7 @@ def scan(docs: DataFrame, model: Markov | None = None, doc_id: str = "doc_id", t
 
 def redact(docs: DataFrame, model: Markov | None = None, text: str = "text") -> DataFrame:
     """The rows with every span of their text replaced by its kind in angle brackets; nothing else changes."""
-    found = model or train(sample_words(docs, text))
+    found = model or fitted(docs, text)
     names = docs.columns
     at = names.index(text)
 
