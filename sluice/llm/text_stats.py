@@ -94,13 +94,19 @@ def repeated_words(words: Words, window: int = WINDOW) -> np.ndarray:
     return covered[words.last] - covered[words.first]
 
 
-def stats(raw: list[bytes]) -> Stats:
-    """Statistics of whole texts given as UTF-8 bytes."""
-    buf, starts, inside, words = split_words(raw)
+def byte_counts(buf: np.ndarray, starts: np.ndarray, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Code points in words, and symbols, of each text of split_words."""
 
     def total(marks: np.ndarray) -> np.ndarray:
         return np.add.reduceat(marks, starts, dtype=np.int64)
 
+    return total(inside & ((buf & 0xC0) != 0x80)), total(_IS_SYMBOL[buf])
+
+
+def stats(raw: list[bytes]) -> Stats:
+    """Statistics of whole texts given as UTF-8 bytes."""
+    buf, starts, inside, words = split_words(raw)
+    word_chars, n_symbols = byte_counts(buf, starts, inside)
     lines, repeats = np.zeros(len(raw), np.int64), np.zeros(len(raw), np.int64)
     spaces = SPACES.encode()
     for i, x in enumerate(raw):
@@ -109,8 +115,8 @@ def stats(raw: list[bytes]) -> Stats:
     return Stats(
         np.array([len(x) for x in raw], np.int64),
         words.last - words.first,
-        total(inside & ((buf & 0xC0) != 0x80)),
-        total(_IS_SYMBOL[buf]),
+        word_chars,
+        n_symbols,
         lines,
         repeats,
         repeated_words(words),
