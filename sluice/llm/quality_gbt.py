@@ -8,10 +8,12 @@ documents at once, one array step per tree level.
 The trees learn from a bounded sample of labelled rows (`TRAIN_ROWS`, a documented parameter):
 the labelled documents with the smallest hash shares. Everything else covers all rows.
 
-Defined results: null and empty texts are scored from their (zero) statistics; rows without
-doc_id are scored and count as held out; a document with several different labels trains on
-the smallest one; with no or one class of labels the score is the smoothed share of label 1;
-repeated rows each get their own row; extra columns are ignored.
+Defined results: null and empty texts are scored from their (zero) statistics, very long ones from
+those of the whole text; rows without doc_id are scored and count as held out; a document with
+several different labels trains on the smallest one, and a doc_id with several rows trains once, on
+the row of the least statistics; with no or one class of labels the score is the smoothed share of
+label 1; ties in a split go to the first statistic and the lowest threshold; repeated rows each get
+their own row; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -167,7 +169,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", te
             x = features(every[a:b])
             yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(2).slice(a, b - a), pa.array(list(x), pa.list_(pa.float64()))], names=["_id", "_y", "x"])
 
-    found = sorted(map(tuple, map_arrow(texts, run, "_id long, _y int, x array<double>").collect()))
+    once = map_arrow(texts, run, "_id long, _y int, x array<double>").groupBy("_id", "_y").agg(F.min("x").alias("x"))
+    found = sorted(map(tuple, once.collect()))
     return np.array([r[2] for r in found]).reshape(len(found), len(FEATURES)), np.array([r[1] for r in found], np.float64)
 
 

@@ -6,8 +6,15 @@ scores as ranked merges). Batches are encoded by several threads. Parity with th
 sentencepiece library is verified when the codec is built, on texts that exercise every
 rebuilt part, and on sampled rows while encoding: any difference raises.
 
+A text without runs of spaces is encoded by its words where the model lets no piece span two of
+them (checked on its vocabulary): each distinct word goes to the batch encoder once. All other
+texts go to it whole.
+
 Defined results: a null text encodes as the empty text, to no pieces; a text decodes to its
-normalised self, which for a model with an identity normaliser is the text itself.
+normalised self, which for a model with an identity normaliser is the text itself; very long texts
+are encoded whole; a null doc_id is kept and repeated rows each get their own row; an empty table
+gives an empty result; all columns are kept, and where the names of the new ones are taken, they
+get underscores in front.
 """
 
 from __future__ import annotations
@@ -27,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import chunks, map_arrow
+from sluice.llm.common import chunks, free_name, map_arrow
 
 #: Threads that encode one batch.
 THREADS = 2
@@ -171,7 +178,7 @@ class Codec:
         # Words arrive normalised and split, so their encoder needs the model alone.
         self.words = Tokenizer(self.tokenizer.model)
         self._forget()
-        self.verify(list(PROBES), self.encode(list(PROBES))[0])
+        self.verify(list(PROBES), *self.encode(list(PROBES)))
 
     def _forget(self) -> None:
         self.number: dict[str, int] = {}
@@ -223,11 +230,13 @@ class Codec:
     def decode(self, ids: list[list[int]]) -> list[str]:
         return self.tokenizer.decode_batch(ids, skip_special_tokens=False)
 
-    def verify(self, texts: list[str], ids: list[np.ndarray]) -> None:
-        """Raise where the sentencepiece library gives other pieces."""
-        for text, own in zip(texts, ids, strict=True):
+    def verify(self, texts: list[str], ids: list[np.ndarray], decoded: list[str]) -> None:
+        """Raise where the sentencepiece library gives other pieces, or decodes them to another text."""
+        for text, own, back in zip(texts, ids, decoded, strict=True):
             if own.tolist() != self.reference.encode(text):
                 raise ValueError(f"encoding differs from the sentencepiece library on a text of {len(text)} characters: {text[:80]!r}")
+            if back != self.reference.decode(own.tolist()):
+                raise ValueError(f"decoding differs from the sentencepiece library on a text of {len(text)} characters: {text[:80]!r}")
 
 
 _codecs: dict[str, Codec] = {}
@@ -246,27 +255,39 @@ def read_model(path: str) -> bytes:
         return f.read()
 
 
+def new_names(docs: DataFrame, ids: str = "piece_ids", decoded: str = "decoded") -> tuple[str, str]:
+    """The names that encode gives to its two columns."""
+    return free_name(docs, ids), free_name(docs, decoded)
+
+
 def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "piece_ids", decoded: str = "decoded") -> DataFrame:
-    """The rows with two more columns: the pieces of each text, and the text they decode to."""
+    """The rows with two more columns, named as by new_names: the pieces of each text, and the text they decode to."""
     at = docs.columns.index(text)
-    names = [*docs.columns, ids, decoded]
-    if len({n.lower() for n in names}) < len(names):
-        raise ValueError(f"{ids} and {decoded} must be new column names")
-    schema = T.StructType([*docs.schema.fields, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(decoded, T.StringType())])
+    names = [*docs.columns, *new_names(docs, ids, decoded)]
+    schema = T.StructType([*docs.schema.fields, T.StructField(names[-2], T.ArrayType(T.IntegerType(), False)), T.StructField(names[-1], T.StringType())])
 
-    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        gc.disable()  # millions of small objects and no cycles
+    def coded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = codec(model)
         every = [t or "" for t in batch.column(at).to_pylist()]
         for a, b in chunks(every, 2_000_000):
             texts = every[a:b]
-            coded, back = own.encode(texts)
+            pieces, back = own.encode(texts)
             probe = [i for i, t in enumerate(texts) if zlib.crc32(t.encode("utf-8", "surrogatepass")) % PARITY_EVERY == 0]
-            own.verify([texts[i] for i in probe], [coded[i] for i in probe])
-            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in coded])]), pa.int32())
-            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(coded), pa.int32()))
+            own.verify([texts[i] for i in probe], [pieces[i] for i in probe], [back[i] for i in probe])
+            offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in pieces])]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pieces), pa.int32()))
             yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists, pa.array(back, pa.string())], names=names)
 
+    def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+        # Millions of small objects and no cycles; the worker's setting returns with the batch.
+        was = gc.isenabled()
+        gc.disable()
+        try:
+            yield from list(coded(batch))
+        finally:
+            if was:
+                gc.enable()
+
     return map_arrow(docs, run, schema)
 
 

@@ -10,9 +10,17 @@ without a rule is blocked if the lower bound of its host's posterior for "bad" (
 Only built-in functions are used. Counts are aggregated before any shuffle by host, so one
 host with a third of the pages costs a row per task.
 
+The host's name is what is left of it without user and port. Its public suffix is the last label,
+or the last two where the last is of two letters (a country) and the one before is one of the
+usual `SECOND_LEVEL` labels (`co.uk`, `com.br`); the registered domain is the suffix with one more
+label. An address of numbers is its own registered domain under the suffix `ip`. Suffixes that are
+run by a company or a city are not known as such: the rule stands in for a list of thousands.
+
 Defined results: a null url, or one without `://`, has empty host and path and no rule; hosts
 without labels get their parent's posterior mean and the width of the prior; an unlabelled
-table allows all that no rule blocks; repeated pages are judged alike.
+table allows all that no rule blocks; very long urls are taken whole; repeated pages are judged
+alike, each in a row of its own; a null page_id is kept and has no label; an empty table gives an
+empty result; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -34,6 +42,8 @@ RULES = (
 LIMIT, Z = 0.3, 1.645
 #: Weight of a prior, in pages: between these, and the first where the data cannot tell.
 LEAST_WEIGHT, MOST_WEIGHT = 2.0, 1000.0
+#: Labels under which countries register domains.
+SECOND_LEVEL = ("ac", "co", "com", "edu", "go", "gob", "gouv", "gov", "govt", "gv", "id", "ltd", "me", "mil", "ne", "net", "nhs", "nom", "or", "org", "plc", "police", "sch")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -52,14 +62,27 @@ def path(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(_after_scheme(url), r"(?s)^[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def host_name(host_: Column) -> Column:
+    """A host without user, port and closing dot."""
+    return F.regexp_replace(F.regexp_replace(host_, "^.*@", ""), r"(?::[0-9]*)?\.?$", "")
+
+
+def _is_address(name: Column) -> Column:
+    return name.rlike(r"^(?:[0-9]+(?:\.[0-9]+){3}|\[.*)$")
+
+
+def _two_labels(name: Column) -> Column:
+    return name.rlike(rf"(?:^|\.)(?:{'|'.join(SECOND_LEVEL)})\.[a-z]{{2}}$")
+
+
 def registered_domain(name: Column) -> Column:
-    """The last two labels of a host."""
-    return F.substring_index(name, ".", -2)
+    """The suffix of a host's name with one more label, if it has one."""
+    return F.when(_is_address(name), name).when(_two_labels(name), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def suffix(name: Column) -> Column:
-    """The last label of a host."""
-    return F.substring_index(name, ".", -1)
+    """The public suffix of a host's name."""
+    return F.when(_is_address(name), F.lit("ip")).when(_two_labels(name), F.substring_index(name, ".", -2)).otherwise(F.substring_index(name, ".", -1))
 
 
 def rule(host_name: Column, path_name: Column, rules: tuple[tuple[str, str, str], ...] = RULES) -> Column:
@@ -102,7 +125,7 @@ def _shrunk(level: DataFrame, parents: DataFrame, key: str, parent: str) -> Data
 def reputation(outcomes: DataFrame) -> DataFrame:
     """(host, bad: 0, 1 or null if unlabelled) to one row per host: n, bad, alpha, beta, mean and lower bound."""
     counts = outcomes.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).cast("long").alias("bad"))
-    hosts = cut(counts.withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", suffix(F.col("host"))))
+    hosts = cut(counts.withColumn("domain", registered_domain(host_name(F.col("host")))).withColumn("suffix", suffix(host_name(F.col("host")))))
     domains = hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     suffixes = domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("root", F.lit("all"))
     # Half a good and half a bad page keep the mean inside (0, 1).
