@@ -63,7 +63,7 @@ SPARE = 2
 BROADCAST_ROWS = 500_000
 #: Rows of one key that a task sends to one partition before it deals the rest over SALTS of them; rows are counted in SLOTS by hash, anew after as many rows.
 HOT, SALTS, SLOTS = 8, 64, 1 << 22
-#: Rows of units that are handed to Python at a time, and of a unit of several queries.
+#: Rows of units that are handed to Python at a time.
 GROUP = 4000
 #: Bins of a set's histogram, and of the finer one of sets with more shingles than LONG.
 BINS, FINE, LONG = 256, 2048, 1000
@@ -335,6 +335,7 @@ def _search(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         index = Index([np.asarray(x, np.int64).view(np.uint64) for x in block["grams"]], percent)
         found = [(me, cls[index.search(np.asarray(grams, np.int64).view(np.uint64))]) for me, grams in zip(asked["cls"], asked["grams"], strict=True)]
         other, me = np.concatenate([o for _, o in found]), np.repeat([m for m, _ in found], [len(o) for _, o in found])
+        other, me = other[other != me], me[other != me]
         return np.maximum(other, me), np.minimum(other, me)
 
     pairs = cut(_by_unit(units, sets.select("cls", "sketch", F.size("grams").alias("n")), compare, "center", "cls").distinct())
@@ -447,8 +448,8 @@ def _star_units(pairs: DataFrame) -> DataFrame:
 
 
 def _shared_units(pairs: DataFrame) -> DataFrame:
-    """Units of many centers with the classes paired with them; a center with more classes than a block has units of its own."""
-    units = max(1, -(-pairs.count() // GROUP))
+    """Units of many centers with the classes paired with them, about a block of pairs each; a center with more classes than a block has units of its own."""
+    units = max(1, -(-pairs.count() // BLOCK))
     own = _unit("center", F.pmod(F.xxhash64("cls"), F.col("blocks")))
     return _roles(_blocks(pairs).select(F.when(F.col("blocks") > 1, own).otherwise(F.pmod(F.xxhash64("center", F.lit(5)), F.lit(units))).alias("unit"), "center", "cls"))
 

@@ -31,7 +31,7 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License scan over all documents."""
     found = license_scan.scan(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "licenses", F.size("matches").cast("long").alias("n_licenses"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"))
+    return found.select("doc_id", "licenses", F.size("matches").cast("long").alias("n_licenses"), F.coalesce(F.array_max(F.transform("matches", lambda m: m["containment"])), F.lit(0.0)).alias("containment"), F.array_join("spdx_tags", ",").alias("spdx_tags"))
 
 
 def op5_quality_gbt(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,6 +69,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_suffix_dedup, op2_source_mix, op3_quality_rules, op4_license_scan, op5_quality_gbt, op6_secret_scan, op7_sentencepiece, op8_va_topk, op9_url_reputation, op10_ngram_join)}
+_TEMPLATES = ", ".join(f"({i}, '{n}', '{t.replace(chr(39), chr(39) * 2)}')" for i, (n, t) in enumerate(license_scan.TEMPLATES))
 _URL = "CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END"
 
 
@@ -84,6 +85,20 @@ def _shrunk_sql(level: str, parents: str, key: str, parent: str) -> str:
 
 
 ORACLES: dict[str, str] = {
+    "op1_suffix_dedup": """
+        WITH d AS (SELECT row_number() OVER () AS r, doc_id, encode(coalesce(text, '')) AS x FROM documents
+        ), w AS (SELECT r, i, hash(x[i + 1 : i + 200]) AS h FROM (SELECT r, x, unnest(range(0, octet_length(x) - 199)) AS i FROM d WHERE octet_length(x) >= 200)
+        ), hit AS (SELECT r, i FROM w WHERE h IN (SELECT h FROM w GROUP BY h HAVING count(*) > 1)
+        ), e AS (SELECT r, i, CASE WHEN i <= lag(i) OVER (PARTITION BY r ORDER BY i) + 200 THEN 0 ELSE 1 END AS new FROM hit
+        ), g AS (SELECT r, i, sum(new) OVER (PARTITION BY r ORDER BY i ROWS UNBOUNDED PRECEDING) AS g FROM e
+        ), s AS (SELECT r, g, min(i) AS a, max(i) + 200 AS b FROM g GROUP BY r, g
+        ), k AS (SELECT r, g, a, b, coalesce(lag(b) OVER (PARTITION BY r ORDER BY a), 0) AS p FROM s
+        ), o AS (
+          SELECT r, sum(b - a) AS n_removed, count(*) AS n_spans, max(b) AS tail, string_agg(hex(x[p + 1 : a]), '' ORDER BY a) AS head FROM k JOIN d USING (r) GROUP BY r)
+        SELECT doc_id, octet_length(x)::bigint AS n_bytes, coalesce(n_removed, 0)::bigint AS n_removed, coalesce(n_spans, 0)::bigint AS n_spans,
+          sha256(unhex(coalesce(head, '') || hex(x[coalesce(tail, 0) + 1 :]))) AS kept_sha256
+        FROM d LEFT JOIN o USING (r)
+    """,
     "op2_source_mix": r"""
         WITH d AS (
           SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint AS size,
@@ -96,14 +111,45 @@ ORACLES: dict[str, str] = {
           WINDOW b AS (ORDER BY cap / w, source ASC NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)
         ), t AS (SELECT source, source_size, least(cap, w * coalesce((SELECT max(level) FROM l WHERE cap > w * level), 'infinity'::double)) AS target FROM l
         ), e AS (
-          SELECT d.*, source_size, target, CASE WHEN size > 0 AND source_size > 0 THEN least(3.0::double, target / source_size) ELSE 0.0::double END AS x FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
-        ), c AS (SELECT *, floor(x + 1e-12)::bigint AS sure, greatest(0.0::double, x - floor(x + 1e-12)) AS p FROM e
+          SELECT d.*, source_size, target, length(bin(size)) AS rel FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
+        ), v AS (SELECT source, rel, any_value(target) AS target, sum(size) AS words FROM e GROUP BY source, rel
+        ), g AS (
+          SELECT *, (target - 3 * coalesce(sum(words) OVER (PARTITION BY source ORDER BY rel DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+            / nullif(sum(words * rel) OVER (PARTITION BY source ORDER BY rel DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING), 0)::double AS level FROM v
+        ), h AS (SELECT source, coalesce(max(level) FILTER (level * rel <= 3), 'infinity'::double) AS level FROM g GROUP BY source
+        ), f AS (
+          SELECT e.*, CASE WHEN size > 0 THEN least(3.0::double, level * rel) ELSE 0.0::double END AS x FROM e JOIN h ON e.source IS NOT DISTINCT FROM h.source
+        ), c AS (SELECT *, floor(x + 1e-12)::bigint AS sure, greatest(0.0::double, x - floor(x + 1e-12)) AS p FROM f
         ), r AS (
           SELECT *, CASE WHEN p > 0 THEN u / (u + (1 - u) * (p / (1 - p))) END AS rank, greatest(0.0::double, target - sum(size * sure) OVER (PARTITION BY source)) AS need FROM c
         ), b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY source, p > 0 ORDER BY rank, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM r)
         SELECT doc_id, size, source_size, target, (size * copies)::bigint AS taken, copies FROM (
           SELECT *, (sure + CASE WHEN p > 0 AND before < need AND 2 * (need - before) >= size THEN 1 ELSE 0 END)::bigint AS copies FROM b)
     """,
+    "op4_license_scan": rf"""
+        WITH RECURSIVE texts AS (
+          SELECT i AS id, true AS template, text FROM (VALUES {_TEMPLATES}) t(i, license, text) UNION ALL SELECT row_number() OVER (), false, coalesce(text, '') FROM documents
+        ), w AS (
+          SELECT id, template, list_filter(string_split_regex(translate(lower(text), '{license_scan.DROPPED.replace("'", "''")}', ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM texts
+        ), s AS (SELECT id, template, i - 1 AS pos, list_aggregate(ws[i : i + 4], 'string_agg', ' ') AS s FROM (SELECT *, unnest(range(1, len(ws) - 3)) AS i FROM w WHERE len(ws) >= 5)
+        ), t AS MATERIALIZED (SELECT DISTINCT id AS i, s FROM s WHERE template
+        ), n AS (SELECT i, count(*) AS n, ceil(log2(count(*)))::int AS c FROM t GROUP BY i
+        ), hit AS MATERIALIZED (SELECT d.id, t.i, d.pos, d.s FROM s d JOIN t USING (s) WHERE NOT d.template
+        ), windows AS (
+          SELECT id, i, s, n, unnest([pos // (1 << c), pos // (1 << c) - 1]) AS win FROM hit JOIN n USING (i)
+        ), m AS MATERIALIZED (
+          SELECT id, i, n, max(k / n::double) AS containment FROM (SELECT id, i, n, win, count(DISTINCT s) AS k FROM windows WHERE win >= 0 GROUP BY ALL) GROUP BY ALL HAVING max(k / n::double) >= {license_scan.CONTAINED}
+        ), covers AS (
+          SELECT a.i, b.i AS j FROM t a JOIN t b ON a.s = b.s AND a.i <> b.i JOIN n ON n.i = a.i GROUP BY a.i, b.i, n.n HAVING count(*) >= {license_scan.CONTAINED} * n.n
+        ), kept AS (
+          SELECT m.* FROM m WHERE NOT EXISTS (SELECT 1 FROM covers c JOIN m o ON o.i = c.j WHERE c.i = m.i AND o.id = m.id AND (o.containment > m.containment OR (o.containment = m.containment AND o.n > m.n)))
+        ), f AS (
+          SELECT id, string_agg(DISTINCT license, ',' ORDER BY license) AS licenses, count(DISTINCT license) AS n, max(containment) AS containment FROM kept JOIN (VALUES {_TEMPLATES}) t(i, license, text) USING (i) GROUP BY id
+        ), d AS (SELECT row_number() OVER () AS id, * FROM documents)
+        SELECT doc_id, coalesce(f.licenses, '') AS licenses, coalesce(f.n, 0)::bigint AS n_licenses, coalesce(f.containment, 0.0)::double AS containment,
+          array_to_string(list_sort(list_distinct(regexp_extract_all(coalesce(d.text, ''), 'SPDX-License-Identifier:[\x20\t]*([A-Za-z0-9.+-]+)', 1))), ',') AS spdx_tags
+        FROM d LEFT JOIN f USING (id)
+    """,
     "op8_va_topk": """
         WITH v AS (
           SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::double)) AS v FROM embeddings
@@ -117,7 +163,11 @@ ORACLES: dict[str, str] = {
           SELECT page_id, translate(regexp_extract(x, '(?s)^([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(x, '(?s)^[^/?#]*([^?#]*)', 1) AS path FROM u
         ), marks AS (SELECT doc_id AS page_id, 1 - min(quality) AS bad FROM labels WHERE quality IS NOT NULL GROUP BY 1
         ), hosts AS (
-          SELECT host, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM base LEFT JOIN marks USING (page_id) GROUP BY ALL
+          SELECT host, array_to_string(ls[-k - 1 :], '.') AS domain, CASE WHEN ip THEN 'ip' ELSE array_to_string(ls[-k:], '.') END AS suffix, n, bad FROM (
+            SELECT *, string_split(name, '.') AS ls, regexp_matches(name, '^([0-9]+([.][0-9]+){{3}}|\\[.*)$') AS ip,
+              CASE WHEN regexp_matches(name, '^([0-9]+([.][0-9]+){{3}}|\\[.*)$') THEN len(string_split(name, '.')) WHEN regexp_matches(name, '(^|[.])({"|".join(url_reputation.SECOND_LEVEL)})[.][a-z]{{2}}$') THEN 2 ELSE 1 END AS k FROM (
+              SELECT *, regexp_replace(regexp_replace(host, '^.*@', ''), '(:[0-9]*)?[.]?$', '') AS name FROM (
+                SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad FROM base LEFT JOIN marks USING (page_id) GROUP BY ALL)))
         ), domains AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM hosts GROUP BY ALL
         ), suffixes AS (SELECT suffix, 'all' AS root, sum(n) AS n, sum(bad) AS bad FROM domains GROUP BY ALL
         ), root AS (SELECT 'all' AS root, (sum(bad) + 0.5) / (sum(n) + 1)::double AS mean, sum(n) + 1.0 AS strength FROM hosts

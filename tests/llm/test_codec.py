@@ -28,6 +28,10 @@ def test_operator(spark):
     assert len(rows) == len(TEXTS) + 1
     assert [r["doc_id"] for r in rows if not r["round_trip"]] == [9]
     assert codec.encode(docs.limit(0), codec.read_model(PATH)).count() == 0
+    clash = spark.createDataFrame([(1, "a b", "x", 2)], "doc_id long, text string, decoded string, Piece_Ids int")
+    coded = codec.encode(clash, codec.read_model(PATH))
+    assert coded.columns == [*clash.columns, *codec.new_names(clash)] == [*clash.columns, "_piece_ids", "_decoded"]
+    assert [(r["decoded"], r["Piece_Ids"], r["_decoded"]) for r in coded.collect()] == [("x", 2, "a b")]
 
 
 def test_unigram_model_is_rebuilt(tmp_path):
