@@ -62,31 +62,48 @@ def digits_hash(value: Column) -> Column:
     return F.when(digits != "", F.sha2(digits, 256))
 
 
+def _percent_decoded(text: Column) -> Column:
+    """Percent-escapes resolved, a plus sign as it is; text without valid escapes stays."""
+    return F.when(text.contains("%"), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)).otherwise(text)
+
+
 def canonical_doi(value: Column) -> Column:
-    """Lower-case DOI without resolver, prefix, trailing punctuation or percent-escapes; null if it is none."""
-    text = F.lower(F.trim(F.coalesce(F.try_url_decode(value), value)))
-    text = F.regexp_replace(text, r"^(https?://)?(dx\.)?doi\.org/", "")
-    text = F.regexp_replace(F.regexp_replace(text, r"^doi:\s*", ""), r"[.,;:)\]}>\s]+$", "")
+    """Lower-case DOI without resolver, prefix, closing punctuation or percent-escapes; null if it is none."""
+    text = F.lower(_percent_decoded(normalize_text(F.coalesce(value, F.lit("")))))
+    # A resolver's address: its path alone counts.
+    path = F.regexp_extract(text, r"^[a-z][a-z0-9+.-]*://(?:(?:dx|www)\.)?doi\.org/+([^?#]*)", 1)
+    # Parameters of the path's last part are not of the DOI.
+    text = F.when(path != "", F.regexp_replace(path, ";[^/]*$", "")).otherwise(text)
+    text = F.regexp_replace(text, r"^(?:doi\s*:\s*|https?://(?:dx\.)?doi\.org/)", "")
+    text = F.regexp_replace(text, r"[ .;,)]+$", "")
     return F.when(text.rlike(r"^10\.\d{4,9}/\S+$"), text)
 
 
 def extract_doi(text: Column) -> Column:
     """The first DOI in a text, canonical."""
-    found = F.regexp_extract(text, r"(?i)10\.\d{4,9}/[^\s\"<>]+", 0)
-    return F.when(found != "", canonical_doi(found))
+    found = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(r"(?i)10\.\d{4,9}/[-._;()/:A-Z0-9]+"), F.lit(0))
+    return F.get(F.filter(F.transform(found, lambda x: F.regexp_replace(F.lower(x), r"[ .;,)]+$", "")), lambda d: d.rlike(r"^10\.\d{4,9}/\S+$")), F.lit(0))
 
 
 def canonical_identifier(scheme: Column, value: Column) -> Column:
-    """Canonical form of an identifier of a known scheme; of others the trimmed value."""
-    v, s = F.trim(value), F.lower(scheme)
-    bare = F.regexp_replace(F.lower(v), r"^https?://[^/]+/", "")
+    """Canonical form of an identifier of a known scheme, null where it is not one; of other schemes the text with single spaces."""
+    v, s = F.trim(F.coalesce(value, F.lit(""))), F.lower(scheme)
+    arxiv = F.regexp_replace(F.regexp_replace(v, r"(?i)^(?:arxiv:|https?://arxiv\.org/(?:abs|pdf)/)", ""), r"v\d+(?:\.pdf)?$", "")
+    orcid = F.upper(F.regexp_replace(v, r"(?i)^https?://orcid\.org/", ""))
+    ror = F.lower(F.regexp_replace(v, r"(?i)^https?://ror\.org/", ""))
+    pmid = F.regexp_replace(F.upper(v), "^PMID", "")
+    bare = F.regexp_replace(F.upper(v), "^PMCID", "")
+    pmcid = F.when(bare.startswith("PMC"), bare).otherwise(F.concat(F.lit("PMC"), bare))
+    openalex = F.upper(F.substring_index(v, "/", -1))
     return (
-        F.when(s == "doi", canonical_doi(v))
-        .when(s == "arxiv", F.regexp_replace(F.regexp_replace(F.lower(v), r"^(https?://arxiv\.org/(abs|pdf)/|arxiv:)", ""), r"(v\d+)?(\.pdf)?$", ""))
-        .when(s == "orcid", F.upper(bare))
-        .when(s == "ror", bare)
-        .when(s == "pmid", F.regexp_replace(v, r"\D", ""))
-        .when(s == "pmcid", F.concat(F.lit("PMC"), F.regexp_replace(v, r"\D", "")))
-        .when(s == "openalex", F.upper(bare))
-        .otherwise(v)
+        F.when(v == "", None)
+        .when(s == "doi", canonical_doi(v))
+        # The letters of ".pdf" are taken off the end one by one.
+        .when(s == "arxiv", F.regexp_replace(arxiv, r"[.pdf]+$", ""))
+        .when(s == "orcid", F.when(orcid.rlike(r"^\d{4}-\d{4}-\d{4}-\d{3}[\dX]$"), orcid))
+        .when(s == "ror", F.when(ror.rlike(r"^0[0-9a-hj-km-np-tv-z]{8}$"), ror))
+        .when(s == "pmid", F.when(F.regexp_replace(pmid, "^PMC", "").rlike(r"^\d+$"), pmid))
+        .when(s == "pmcid", F.when(F.regexp_replace(pmcid, "^PMC", "").rlike(r"^\d+$"), pmcid))
+        .when(s == "openalex", F.when(openalex.rlike(r"^[WASITKPF]\d+$"), openalex))
+        .otherwise(collapse(v))
     )

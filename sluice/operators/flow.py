@@ -22,10 +22,10 @@ def flow_checks(received: Column, observable: Column, evaluated: Column, selecte
     """Names of the violated inequalities of a cycle's counts."""
     return F.array_compact(
         F.array(
-            F.when(observable > received, F.lit("observable>received")),
-            F.when(evaluated > observable, F.lit("evaluated>observable")),
-            F.when(selected > observable, F.lit("selected>observable")),
-            F.when(decided > observable, F.lit("decided>observable")),
+            F.when(observable > received, F.lit("observable_gt_received")),
+            F.when(evaluated > observable, F.lit("evaluated_gt_observable")),
+            F.when(selected > observable, F.lit("selected_gt_observable")),
+            F.when(decided > observable, F.lit("decided_gt_observable")),
         )
     )
 

@@ -20,7 +20,7 @@ from sluice.session import table
     s AS (SELECT s_nationkey AS n_nationkey, count(*) AS evaluators, max(s_name) AS grade FROM supplier GROUP BY 1)
     SELECT n_name, coalesce(received, 0)::bigint AS received, coalesce(observable, 0)::bigint AS observable, coalesce(selected, 0)::bigint AS selected, coalesce(withdrawn, 0)::bigint AS withdrawn, coalesce(evaluators, 0)::bigint AS evaluators, grade,
       greatest(coalesce(observable, 0) - coalesce(selected, 0) - coalesce(withdrawn, 0), 0)::bigint AS other,
-      CASE WHEN coalesce(observable, 0) > coalesce(received, 0) THEN 'observable>received' ELSE '' END AS violations,
+      CASE WHEN coalesce(observable, 0) > coalesce(received, 0) THEN 'observable_gt_received' ELSE '' END AS violations,
       CASE WHEN observable > 0 THEN round(selected / observable::double, 6) END AS selected_share
     FROM base LEFT JOIN c USING (n_nationkey) LEFT JOIN o USING (n_nationkey) LEFT JOIN s USING (n_nationkey)
     """,

@@ -13,12 +13,15 @@ from pyspark.sql import functions as F
 
 from sluice import schema
 from sluice.functions.identifiers import canonical_doi, stable_id
+from sluice.functions.json_text import canonical_json
 
 _DATE = "struct<`date-time`:string,timestamp:bigint>"
 _TARGET = "array<struct<id:string,`id-type`:string>>"
 #: Fields of a work that rows are made of.
 WORK = f"DOI string, URL string, type string, subtype string, stage string, recommendation string, language string, created {_DATE}, indexed {_DATE}, author array<string>, relation map<string,{_TARGET}>"
 SOURCE, NATIVE = "crossref_peer_review", "peer-review-discovery"
+#: Version of this normalisation, as published artifacts carry it. Fixed value.
+VERSION = "3"
 
 
 def works(raw: DataFrame) -> DataFrame:
@@ -26,7 +29,7 @@ def works(raw: DataFrame) -> DataFrame:
     page = F.from_json("payload", "items array<string>")["items"]
     opened = raw.select("source_object_id", "provenance_event_id", "retrieved_at", F.posexplode(F.coalesce(page, F.array("payload"))).alias("position", "json"), page.isNotNull().alias("paged"))
     created, indexed = (F.coalesce(F.try_to_timestamp(F.col(f"w.{c}.date-time")), F.timestamp_millis(f"w.{c}.timestamp")) for c in ("created", "indexed"))
-    native = F.coalesce("w.DOI", "w.URL", F.concat(F.lit("sha256:"), F.sha2("json", 256)))
+    native = F.coalesce("w.DOI", "w.URL", stable_id("crossref_work", F.lit("crossref"), canonical_json(F.col("json"))))
     return opened.withColumn("w", F.from_json("json", WORK)).select("source_object_id", "provenance_event_id", "position", "paged", "json", "w", native.alias("native"), canonical_doi(F.col("w.DOI")).alias("doi"), created.alias("created_at"), F.coalesce(indexed, created, "retrieved_at").alias("observed_at"))
 
 
@@ -54,7 +57,7 @@ def normalize(raw: DataFrame) -> dict[str, DataFrame]:
     out = {
         "gate": _rows(w, "gate", gate_id=gate, native_id=F.lit(NATIVE), name=F.lit("Crossref peer-review deposits"), organization=F.lit("Crossref depositors"), architecture=F.lit("unknown")),
         "gate_cycle": _rows(w, "gate_cycle", gate_cycle_id=cycle, gate_id=gate, native_id=F.lit(NATIVE), name=F.lit("Crossref peer-review discovery snapshot"), architecture=F.lit("unknown"), status=F.lit("discovery-only")),
-        "content_artifact": _rows(w, "content_artifact", content_artifact_id=artifact, object_type=F.lit("peer_review_metadata"), media_type=F.lit("application/json"), byte_hash=F.sha2("json", 256), source_url=F.col("w.URL"), local_pointer=F.when(F.col("paged"), F.concat(F.lit("items["), "position", F.lit("]"))), licence=F.lit("Crossref-metadata-with-abstract-exception"), release_class=F.lit("pointer_hash"), size_bytes=F.octet_length("json"), language=F.col("w.language")),
+        "content_artifact": _rows(w, "content_artifact", content_artifact_id=artifact, object_type=F.lit("peer_review_metadata"), media_type=F.lit("application/json"), byte_hash=F.sha2(canonical_json(F.col("json")), 256), source_url=F.col("w.URL"), local_pointer=F.when(F.col("paged"), F.concat(F.lit("items["), "position", F.lit("]"))), licence=F.lit("Crossref-metadata-with-abstract-exception"), release_class=F.lit("pointer_hash"), size_bytes=F.octet_length(canonical_json(F.col("json"))), language=F.col("w.language"), parser_version=F.lit(VERSION)),
         "candidate": _rows(links, "candidate", candidate_id=candidate, first_observed_at=F.col("created_at"), candidate_type=F.lit("scholarly_work"), status=F.lit("visible")),
         "candidate_version": _rows(links, "candidate_version", candidate_version_id=version, candidate_id=candidate, native_id=F.col("target"), version_label=F.lit("reviewed_object")),
         "identifier_alias": own_aliases.unionByName(target_aliases),
