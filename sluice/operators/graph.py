@@ -26,18 +26,17 @@ def cyclic_nodes(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFr
     return left.select(F.col("s").alias("node")).distinct()
 
 
-def reachable(edges: DataFrame, start: DataFrame, src: str, dst: str, limit: int = 64) -> DataFrame:
-    """(start, node) of everything that each start reaches, itself included; frontier by frontier."""
+def reachable(edges: DataFrame, start: DataFrame, src: str, dst: str) -> DataFrame:
+    """(start, node) of everything that each start reaches, itself included; frontier by frontier, until one is empty."""
     e = cut(edges.select(F.col(src).alias("s"), F.col(dst).alias("d")).distinct())
     seen = cut(start.select(F.col(start.columns[0]).alias("start"), F.col(start.columns[0]).alias("node")).distinct())
     frontier = seen
-    for _ in range(limit):
+    while True:
         step = frontier.join(e, F.col("node") == F.col("s")).select("start", F.col("d").alias("node")).distinct()
         frontier = cut(step.join(seen, ["start", "node"], "left_anti"))
         if frontier.isEmpty():
             return seen
         seen = cut(seen.unionByName(frontier))
-    raise ValueError(f"paths are longer than {limit}")
 
 
 def provenance_trace(events: DataFrame, start: DataFrame, event_id: str = "provenance_event_id", parents: str = "parent_event_ids") -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sluice.functions import stats
+from sluice.operators.atlas import quantiles, running_sums
+from sluice.session import cut
 
 
 def calibrated(df: DataFrame, cell: list[str], value: str) -> DataFrame:
@@ -43,9 +45,12 @@ def transport(df: DataFrame, source: str, features: list[str], least_rows: int =
     """For each pair of sources: overlap of the 5 to 95 % ranges and standardised difference of each feature, and whether comparison is supported."""
     aggs = [F.count("*").alias("rows")]
     for f in features:
-        q = F.percentile(f, F.array(F.lit(0.05), F.lit(0.95)))
-        aggs += [q[0].alias(f"{f}_lo"), q[1].alias(f"{f}_hi"), F.avg(f).alias(f"{f}_m"), F.var_samp(f).alias(f"{f}_v"), F.count(f).alias(f"{f}_n")]
+        aggs += [F.avg(f).alias(f"{f}_m"), F.var_samp(f).alias(f"{f}_v"), F.count(f).alias(f"{f}_n")]
     each = df.groupBy(source).agg(*aggs)
+    for f in features:
+        each = each.join(quantiles(df, [source], f, {f"{f}_lo": 0.05, f"{f}_hi": 0.95}), source, "left")
+    # A row a source, made once for both sides.
+    each = cut(each)
     names = each.columns
     left, right = each.select([F.col(c).alias(f"l_{c}") for c in names]), each.select([F.col(c).alias(f"r_{c}") for c in names])
     # A few rows a source: the pairs are sources squared, not rows squared.
@@ -77,10 +82,10 @@ def confusion(df: DataFrame, truth: Column, guess: Column) -> DataFrame:
 
 
 def roc_auc(df: DataFrame, truth: str, score: str) -> DataFrame:
-    """One row: positives, negatives and ROC AUC. Counts by distinct score are cumulated, so no row is ranked on its own."""
+    """One row: positives, negatives and ROC AUC. Counts by distinct score are cumulated over ranges of the score, so no task ranks all rows."""
     by = df.where(F.col(truth).isNotNull() & F.col(score).isNotNull()).groupBy(score).agg(F.sum(F.col(truth).cast("long")).alias("p"), F.count("*").alias("n"))
-    below = F.sum(F.col("n") - F.col("p")).over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1))
-    wins = by.withColumn("below", F.coalesce(below, F.lit(0)))
+    by = by.withColumn("q", F.col("n") - F.col("p"))
+    wins = running_sums(by, score, ["q"]).withColumn("below", F.col("q_sum") - F.col("q"))
     area = F.sum(F.col("p") * (F.col("below") + (F.col("n") - F.col("p")) / 2))
     return wins.agg(F.sum("p").alias("positives"), F.sum(F.col("n") - F.col("p")).alias("negatives"), area.alias("area")).withColumn("auc", stats.share(F.col("area"), F.col("positives") * F.col("negatives"))).drop("area")
 

@@ -6,7 +6,7 @@ import importlib
 
 from sluice.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("history", "flows", "measures", "texts", "products")
+MODULES = ("history", "flows", "measures", "texts", "products", "views", "golden", "atlas")
 
 
 def load() -> tuple[dict[str, Query], dict[str, str]]:

@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice.functions import stats
-from sluice.operators import novelty, panels
+from sluice.operators import atlas, novelty, panels
 from sluice.plans.registry import query
-from sluice.session import table
+from sluice.session import cut, table
 
 _CALIBRATED = """
     SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, round(CASE WHEN sd = 0 THEN 0 ELSE (l_quantity - m) / sd END, 6) AS z, round(pct, 6) AS percentile FROM (
@@ -65,11 +65,13 @@ def strain_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     od = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     hours = (F.unix_micros(F.col("l_shipdate").cast("timestamp")) - F.unix_micros(F.col("o_orderdate").cast("timestamp"))) / 3.6e9
     j = li.join(od, F.col("l_orderkey") == F.col("o_orderkey"), "left").withColumn("h", hours)
-    wide = j.groupBy("l_suppkey").agg(
-        F.count("*").alias("n"), F.count_distinct("l_orderkey").alias("candidates"), F.round(F.percentile("h", F.lit(0.5)), 3).alias("median_hours"), F.round(F.percentile("h", F.lit(0.9)), 3).alias("p90_hours"), F.round(F.avg((F.col("l_tax") > 0.04).cast("double")), 6).alias("share")
-    )
-    each = j.groupBy("l_suppkey", "l_orderkey").agg(F.count("*").alias("reports"))
-    return wide.join(each.groupBy("l_suppkey").agg(F.round(F.avg("reports"), 6).alias("mean_reports"), F.percentile("reports", F.lit(0.5)).alias("median_reports")), "l_suppkey")
+    j = cut(j.select("l_suppkey", "l_orderkey", "h", (F.col("l_tax") > 0.04).cast("double").alias("t")))
+    each = j.groupBy("l_suppkey", "l_orderkey").agg(F.count("*").alias("reports"), F.sum("t").alias("t"))
+    # Counts by order give the counts by supplier, so lines are shuffled once for them.
+    wide = each.groupBy("l_suppkey").agg(F.sum("reports").alias("n"), F.count("*").alias("candidates"), F.round(F.sum("t") / F.sum("reports"), 6).alias("share"), F.round(F.avg("reports"), 6).alias("mean_reports"))
+    hours_ = atlas.quantiles(j, ["l_suppkey"], "h", {"median_hours": 0.5, "p90_hours": 0.9})
+    reports = atlas.quantiles(each, ["l_suppkey"], "reports", {"median_reports": 0.5})
+    return wide.join(hours_.withColumns({c: F.round(c, 3) for c in ("median_hours", "p90_hours")}), "l_suppkey", "left").join(reports, "l_suppkey")
 
 
 @query(
