@@ -10,14 +10,12 @@ from sluice.operators import dedup, graph, novelty
 from sluice.plans.registry import query
 from sluice.session import table
 
-_LANGS = {k: ", ".join(f"'{w}'" for w in v) for k, v in text.MARKERS.items()}
-
-
 @query(
     "language_guess",
-    f"""
-    WITH w AS (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{{L}}]+') AS ws FROM documents),
-    c AS (SELECT doc_id, len(ws) AS n, {', '.join(f"len(list_filter(ws, lambda x: x IN ({m}))) AS {k}" for k, m in sorted(_LANGS.items()))} FROM w),
+    """
+    WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+'), lambda x: NOT regexp_matches(x, '[\\p{Nd}_]')) AS ws FROM documents),
+    c AS (SELECT doc_id, len(ws) AS n, len(list_filter(ws, lambda x: x IN ('the', 'and', 'of', 'in', 'with'))) AS en, len(list_filter(ws, lambda x: x IN ('der', 'die', 'und', 'von', 'mit'))) AS de,
+      len(list_filter(ws, lambda x: x IN ('le', 'la', 'et', 'de', 'avec'))) AS fr, len(list_filter(ws, lambda x: x IN ('el', 'la', 'y', 'de', 'con'))) AS es FROM w),
     g AS (SELECT *, greatest(de, en, es, fr) AS top FROM c)
     SELECT doc_id, CASE WHEN n >= 20 AND top >= 2 AND (de = top)::int + (en = top)::int + (es = top)::int + (fr = top)::int = 1 THEN CASE top WHEN de THEN 'de' WHEN en THEN 'en' WHEN es THEN 'es' ELSE 'fr' END END AS guess FROM g
     """,
@@ -49,16 +47,16 @@ def content_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "title_blocks",
     """
-    WITH t AS (SELECT doc_id, trim(regexp_replace(lower(substr(text, 1, 40)), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents),
+    WITH t AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')) AS k FROM documents),
     b AS (SELECT doc_id, k, lead(doc_id) OVER (PARTITION BY k ORDER BY doc_id) AS nxt FROM t WHERE length(k) >= 20)
-    SELECT doc_id AS a, nxt AS b, k FROM b WHERE nxt IS NOT NULL
+    SELECT doc_id AS a, nxt AS b, md5(k) AS k FROM b WHERE nxt IS NOT NULL
     """,
 )
 def title_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Neighbouring documents with the same opening."""
-    t = table(spark, sf_dir, "documents").select("doc_id", text.title_key(F.substring("text", 1, 40)).alias("k")).where(F.length("k") >= 20)
+    """Neighbouring documents with the same normal form."""
+    t = table(spark, sf_dir, "documents").select("doc_id", text.title_key(F.col("text")).alias("k")).where(F.length("k") >= 20)
     w = Window.partitionBy("k").orderBy("doc_id")
-    return t.withColumn("b", F.lead("doc_id").over(w)).where(F.col("b").isNotNull()).select(F.col("doc_id").alias("a"), "b", "k")
+    return t.withColumn("b", F.lead("doc_id").over(w)).where(F.col("b").isNotNull()).select(F.col("doc_id").alias("a"), "b", F.md5("k").alias("k"))
 
 
 @query(
@@ -95,7 +93,10 @@ def doi_canonical(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "stable_ids",
-    None,
+    """
+    WITH h AS (SELECT c_custkey, sha1(unhex('7087e635619a5b4199bcc8ab98842348') || encode('candidate|tpch|' || lower(c_name))) AS d FROM customer)
+    SELECT c_custkey, 'obs:candidate:' || d[1:8] || '-' || d[9:12] || '-5' || d[14:16] || '-' || '89ab89ab89ab89ab'[('0x' || d[17])::int + 1] || d[18:20] || '-' || d[21:32] AS id FROM h
+    """,
 )
 def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Deterministic ids of customers."""
@@ -105,7 +106,7 @@ def stable_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     "outcome_classes",
-    "SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'accept' WHEN o_orderpriority LIKE '2%' THEN 'reject' WHEN o_orderpriority LIKE '3%' THEN 'withdraw' ELSE 'other' END AS outcome, count(*)::bigint AS n FROM orders GROUP BY 1",
+    "SELECT CASE WHEN o_orderpriority LIKE '1%' THEN 'accepted' WHEN o_orderpriority LIKE '2%' THEN 'rejected' WHEN o_orderpriority LIKE '3%' THEN 'withdrawn' ELSE 'other_or_unresolved' END AS outcome, count(*)::bigint AS n FROM orders GROUP BY 1",
 )
 def outcome_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Native outcomes classed by prefix."""
@@ -117,33 +118,18 @@ def outcome_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     "lexical_units",
     """
-    WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(substr(text, 1, 2000)), '[a-z][a-z0-9]{2,}'), lambda x: x NOT IN ('the', 'and', 'for', 'was')) AS ws FROM documents WHERE lang = 'en'),
+    WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}'), lambda x: x NOT IN ('the', 'and', 'for', 'was')) AS ws FROM documents),
     u AS (SELECT doc_id, unnest(ws) AS unit FROM w UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w) WHERE ws[i] <> ws[i + 1]),
     c AS (SELECT doc_id, unit, count(*) AS n FROM u GROUP BY ALL)
     SELECT doc_id, unit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, len(string_split(unit, ' ')) DESC, unit) AS r FROM c) WHERE r <= 12
     """,
 )
 def lexical_units(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 12 leading words and pairs of the first 2000 characters of English documents, as its SQL has it; lexical_units_whole reads all."""
-    d = table(spark, sf_dir, "documents").where(F.col("lang") == "en")
-    return novelty.top_units(d, "doc_id", F.substring("text", 1, 2000), ("the", "and", "for", "was"))
-
-
-@query(
-    "lexical_units_whole",
-    """
-    WITH w AS (SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9]{2,}'), lambda x: x NOT IN ('the', 'and', 'for', 'was')) AS ws FROM documents WHERE lang = 'en'),
-    u AS (SELECT doc_id, unnest(ws) AS unit FROM w UNION ALL SELECT doc_id, ws[i] || ' ' || ws[i + 1] FROM (SELECT doc_id, ws, unnest(range(1, len(ws))) AS i FROM w) WHERE ws[i] <> ws[i + 1]),
-    c AS (SELECT doc_id, unit, count(*) AS n FROM u GROUP BY ALL)
-    SELECT doc_id, unit FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, len(string_split(unit, ' ')) DESC, unit) AS r FROM c) WHERE r <= 12
-    """,
-)
-def lexical_units_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The 12 leading words and pairs of English documents, counted over their whole texts.
+    """The 12 leading words and pairs of every document, counted over its whole text.
 
     Texts are dealt by document once, before they are split: the many units are then counted and ranked where they arise.
     """
-    d = table(spark, sf_dir, "documents").where(F.col("lang") == "en").select("doc_id", "text").repartition("doc_id")
+    d = table(spark, sf_dir, "documents").select("doc_id", "text").repartition("doc_id")
     return novelty.top_units(d, "doc_id", F.col("text"), ("the", "and", "for", "was"))
 
 
@@ -155,9 +141,23 @@ def lexical_units_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def semantic_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One line for each repeated key, by a total order."""
-    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
-    best = dedup.total_latest(li, ["l_orderkey", "l_linenumber"]).select("l_orderkey", "l_linenumber", "l_partkey")
-    return best.join(li.groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")), ["l_orderkey", "l_linenumber"])
+    li = table(spark, sf_dir, "lineitem")
+    rest = F.struct("l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    return li.groupBy("l_orderkey", "l_linenumber").agg(F.max(rest)["l_partkey"].alias("l_partkey"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "semantic_merge",
+    """
+    WITH r AS (SELECT o_custkey, o_orderkey, o_orderdate, CASE WHEN o_orderkey % 3 = 0 THEN NULL ELSE o_orderpriority END AS title, o_orderstatus AS status FROM orders)
+    SELECT o_custkey AS candidate_id, min(o_orderdate) AS first_observed_at, max(row(o_orderkey, title)) FILTER (title IS NOT NULL)[2] AS canonical_title, max(row(o_orderkey, status))[2] AS status FROM r GROUP BY 1
+    """,
+)
+def semantic_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Observations of customers merged by the candidates' rule: the earliest date, the latest title and status that are known."""
+    o = table(spark, sf_dir, "orders")
+    rows = o.select(F.col("o_custkey").alias("candidate_id"), F.col("o_orderdate").alias("first_observed_at"), F.when(F.col("o_orderkey") % 3 != 0, F.col("o_orderpriority")).alias("canonical_title"), F.col("o_orderstatus").alias("status"), F.col("o_orderkey").alias("observed_at"))
+    return dedup.deduplicate(rows, "candidate", "candidate_id", ["observed_at"]).drop("observed_at")
 
 
 @query(
@@ -196,22 +196,8 @@ def alias_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.alias_conflicts(a).select(F.col("canonical_value").alias("v"), F.array_join("entities", ",").alias("entities"))
 
 
-@query(
-    "graph_cycles",
-    """
-    WITH RECURSIVE e AS (SELECT DISTINCT c_custkey % 30 AS s, (c_custkey * 7 + c_nationkey) % 30 AS d FROM customer WHERE c_custkey <= 40), r AS (SELECT s AS a, d AS b FROM e UNION SELECT r.a, e.d FROM r JOIN e ON r.b = e.s)
-    SELECT DISTINCT a AS node FROM r WHERE a = b
-    """,
-)
+@query("graph_cycles")
 def graph_cycles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Nodes on cycles of a small graph of the first 40 customers, as its SQL has it; graph_cycles_whole takes all."""
-    c = table(spark, sf_dir, "customer").where(F.col("c_custkey") <= 40)
-    edges = c.select((F.col("c_custkey") % 30).alias("src"), ((F.col("c_custkey") * 7 + F.col("c_nationkey")) % 30).alias("dst"))
-    return graph.strong_components(edges).select("node").distinct()
-
-
-@query("graph_cycles_whole")
-def graph_cycles_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(node, root) of the nodes on cycles of a graph with an edge from every customer, on three nodes to four customers.
 
     No oracle: recursive SQL makes every pair of nodes with a path.

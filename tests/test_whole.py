@@ -18,7 +18,7 @@ def test_units_come_from_the_whole_text(spark, tmp_path):
     early, late = " ".join(f"early{i % 40}" for i in range(400)), " ".join(f"late{i % 5} mark" for i in range(900))
     texts = [early + " " + late, "short text", "", None]
     spark.createDataFrame([(i, t, "en") for i, t in enumerate(texts)], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
-    got = {(r["doc_id"], r["unit"]) for r in QUERIES["lexical_units_whole"](spark, str(tmp_path)).collect()}
+    got = {(r["doc_id"], r["unit"]) for r in QUERIES["lexical_units"](spark, str(tmp_path)).collect()}
     assert got == {(i, u) for i, t in enumerate(texts) for u in plain_units(t or "")}
     assert (0, "mark") in got and early.find("mark") == -1 and len(early) > 2000
 
@@ -33,17 +33,5 @@ def test_cycles_of_every_customer(spark, tmp_path):
         paths |= more
     nodes = {a for a, b in paths if a == b}
     plain = {(a, min(b for b in nodes if b == a or {(a, b), (b, a)} <= paths)) for a in nodes}
-    assert {(r["node"], r["root"]) for r in QUERIES["graph_cycles_whole"](spark, str(tmp_path)).collect()} == plain
+    assert {(r["node"], r["root"]) for r in QUERIES["graph_cycles"](spark, str(tmp_path)).collect()} == plain
     assert max(nodes) >= 40
-
-
-def test_secret_model_is_trained_alike_on_every_layout(spark):
-    from sluice.llm import secret_scan
-
-    names = ["".join(chr(97 + int(c)) for c in str(1000 + i)) for i in range(400)]
-    rows = [("x" * 9 + " ", ) for _ in range(50)] + [(f"{'pad ' * 1200}tail{n}",) for n in names]
-    one = spark.createDataFrame(rows, "text string").coalesce(1)
-    other = spark.createDataFrame(rows[::-1], "text string").repartition(7)
-    words = secret_scan.sample_words(one)
-    assert words == secret_scan.sample_words(other)
-    assert sum(w.startswith("tail") for w in words) >= secret_scan.SAMPLE_ROWS - 1
