@@ -26,9 +26,11 @@ def get_session(app: str = "sluice", master: str | None = None, **conf: str) ->
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or a temporary folder where that is unset (tests)."""
+    """The folder all executors share: spark.checkpoint.dir, or a temporary folder where that is unset and driver and executors are one process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="sluice-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sluice import schema
@@ -19,28 +19,32 @@ class Lake:
         return f"{self.root}/{table}"
 
     def write(self, table: str, rows: DataFrame, source: str, run: str) -> None:
-        """Append a run of one source: rows are conformed, keys must be unique in the run, a repeated run replaces itself.
-
-        Writers commit whole directories, so a run is either there or not.
-        """
+        """Append a run of one source: rows are conformed, keys must be unique in the run, a repeated run replaces itself."""
         checked = schema.conform(rows, table)
         if not (bad := schema.duplicate_keys(checked, table)).isEmpty():
             raise ValueError(f"{table} has repeated keys, one is {bad.first()[0]}")
         body = checked.drop("source_id") if "source_id" in checked.columns else checked
         target = f"{self.path(table)}/source_id={source}/run={run}"
         body.write.mode("overwrite").option("compression", "zstd").parquet(target)
-        count = self.spark.read.parquet(target).count()
-        entry = self.spark.createDataFrame([(table, source, run, count, False)], "table string, source string, run string, rows long, removed boolean")
+        # The manifest names every shard with its rows and digest; reads go by it, so a body without an entry is not there.
+        rows = self.spark.read.parquet(target).groupBy(_name(F.col("_metadata.file_path")).alias("shard")).agg(F.count(F.lit(1)).alias("rows"))
+        files = checksums(self.spark, target).select(_name(F.col("path")).alias("shard"), "size", "sha256").where(F.col("shard").endswith(".parquet"))
+        entry = files.join(F.broadcast(rows), "shard", "left").select(F.lit(table).alias("table"), F.lit(source).alias("source"), F.lit(run).alias("run"), "shard", F.coalesce("rows", F.lit(0).cast("long")).alias("rows"), "size", "sha256", F.lit(False).alias("removed"))
+        self._record(entry)
+
+    def _record(self, entry: DataFrame) -> None:
         entry.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
 
     def remove(self, table: str, source: str, run: str) -> None:
         """Mark a run as removed; reads leave it out from then on."""
-        entry = self.spark.createDataFrame([(table, source, run, 0, True)], "table string, source string, run string, rows long, removed boolean")
-        entry.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(f"{self.root}/_manifest")
+        entry = self.spark.createDataFrame([(table, source, run, None, 0, 0, None, True)], "table string, source string, run string, shard string, rows long, size long, sha256 string, removed boolean")
+        self._record(entry)
 
     def manifest(self) -> DataFrame:
-        """The last entry of each run."""
-        return history.latest(self.spark.read.parquet(f"{self.root}/_manifest"), ["table", "source", "run"], ["at"])
+        """The last entries of each run: one a shard, or one that says it is removed."""
+        every = self.spark.read.parquet(f"{self.root}/_manifest")
+        last = every.groupBy("table", "source", "run").agg(F.max("at").alias("at"))
+        return every.join(last, ["table", "source", "run", "at"])
 
     def history(self, table: str, source: str | None = None, run: str | None = None) -> DataFrame:
         """All rows of the runs that are not removed; a source or run reads only its folders."""
@@ -48,9 +52,8 @@ class Lake:
         for column, value in (("source_id", source), ("run", run)):
             if value is not None:
                 df = df.where(F.col(column) == value)
-        gone = self.manifest().where((F.col("table") == table) & F.col("removed")).select(F.col("source").alias("source_id"), "run")
-        if not gone.isEmpty():
-            df = df.join(gone, ["source_id", "run"], "left_anti")
+        there = self.manifest().where((F.col("table") == table) & ~F.col("removed")).select(F.col("source").alias("source_id"), "run").distinct()
+        df = df.join(F.broadcast(there) if there.count() <= 100_000 else there, ["source_id", "run"], "left_semi")
         order = [n for n, _, _ in schema.fields(table) if n in df.columns]
         return df.select(*order)
 
@@ -80,13 +83,19 @@ class Lake:
         return sorted(made)
 
     def verify(self) -> DataFrame:
-        """(table, source, run, expected, found) of runs whose rows are not as many as written."""
-        wrong = []
-        for e in self.manifest().where(~F.col("removed")).collect():
-            found = self.spark.read.parquet(f"{self.path(e['table'])}/source_id={e['source']}/run={e['run']}").count()
-            if found != e["rows"]:
-                wrong.append((e["table"], e["source"], e["run"], e["rows"], found))
-        return self.spark.createDataFrame(wrong, "table string, source string, run string, expected long, found long")
+        """(table, source, run, shard, problem) of shards that are missing, changed, or not in the manifest: one pass over all files."""
+        known = self.manifest().where(~F.col("removed")).select("table", "source", "run", "shard", F.col("sha256").alias("expected"))
+        found = checksums(self.spark, self.root).where(F.col("path").rlike("/source_id=[^/]*/run=[^/]*/[^/]*[.]parquet$"))
+        part = lambda p: F.regexp_extract("path", p, 1)
+        here = found.select(part("/([^/]+)/source_id=").alias("table"), part("/source_id=([^/]*)/").alias("source"), part("/run=([^/]*)/").alias("run"), _name(F.col("path")).alias("shard"), "sha256")
+        gone = self.manifest().where("removed").select("table", "source", "run")
+        both = known.join(here, ["table", "source", "run", "shard"], "full").join(gone, ["table", "source", "run"], "left_anti")
+        problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("expected").isNull(), "not in the manifest").when(F.col("expected") != F.col("sha256"), "changed")
+        return both.withColumn("problem", problem).where(F.col("problem").isNotNull()).select("table", "source", "run", "shard", "problem")
+
+
+def _name(path: Column) -> Column:
+    return F.substring_index(path, "/", -1)
 
 
 def checksums(spark: SparkSession, path: str) -> DataFrame:

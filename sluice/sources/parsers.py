@@ -8,9 +8,11 @@ from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from sluice.session import cut
+
 
 def _local(tag: str) -> str:
     return tag.rsplit("}", 1)[-1]
@@ -122,28 +124,38 @@ def safe_parse(df: DataFrame, parser: str, key: str, payload: str) -> tuple[Data
             yield pd.DataFrame({"k": rows["k"], "parsed": parsed, "error": errors, "sha256": rows["h"]})
 
     base = df.select(F.col(key).cast("string").alias("k"), F.col(payload).alias("p"), F.sha2(F.coalesce(payload, F.lit("")), 256).alias("h"))
-    out = base.mapInPandas(run, "k string, parsed string, error string, sha256 string").withColumnRenamed("k", key)
+    # Parsed once for both outputs.
+    out = cut(base.mapInPandas(run, "k string, parsed string, error string, sha256 string").withColumnRenamed("k", key))
     return out.where(F.col("error").isNull()).select(key, "parsed"), out.where(F.col("error").isNotNull()).select(key, "error", "sha256")
 
 
-def copy_blocks(lines: DataFrame, value: str = "value") -> DataFrame:
-    """(table, columns, rows) of the COPY blocks of a PostgreSQL dump given as one row a file (wholetext), one row a block."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            out = []
-            for text in part[value]:
-                table, columns, n = None, None, 0
-                for line in (text or "").splitlines():
-                    if table is None and line.startswith("COPY ") and line.rstrip().endswith("FROM stdin;"):
-                        head = line[5:].rsplit(" FROM stdin;", 1)[0]
-                        table, _, rest = head.partition(" (")
-                        columns, n = rest.rstrip(")"), 0
-                    elif table is not None and line == "\\.":
-                        out.append((table, columns, n))
-                        table = None
-                    elif table is not None:
-                        n += 1
-            yield pd.DataFrame(out, columns=["table", "columns", "rows"])
-
-    return lines.select(value).mapInPandas(run, "table string, columns string, rows long")
+def dump_lines(spark: SparkSession, path: str) -> DataFrame:
+    """(file, at, value): the lines of dump files with their place; files are split as Spark splits any text, so no task holds a whole dump."""
+    lines = spark.read.text(path)
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"))
+    return lines.select(F.col("_metadata.file_path").alias("file"), place.alias("at"), "value")
+
+
+def copy_rows(lines: DataFrame) -> DataFrame:
+    """(file, table, columns, value) of the lines inside COPY blocks of PostgreSQL dumps, given as (file, at, value).
+
+    Only marker lines (a few a table) are put in order; each line then falls between a block's
+    first and last marker of its file.
+    """
+    head = r"^COPY (\S+) \((.*)\) FROM stdin;\s*$"
+    marks = lines.where(F.col("value").rlike(r"^COPY .* FROM stdin;\s*$") | (F.col("value") == "\\."))
+    order = Window.partitionBy("file").orderBy("at")
+    opened = F.col("value").startswith("COPY ")
+    # A line inside a block that looks like a marker's beginning is data: a block ends at the next end mark.
+    before = F.coalesce(F.lag(opened).over(order), F.lit(False))
+    blocks = marks.withColumn("_open", opened).withColumn("_inside", before & opened)
+    blocks = blocks.where(~F.col("_inside")).withColumn("_end", F.lead("at").over(order)).where("_open")
+    blocks = cut(blocks.select("file", F.col("at").alias("_from"), F.col("_end").alias("_to"), F.regexp_extract("value", head, 1).alias("table"), F.regexp_extract("value", head, 2).alias("columns")))
+    side = F.broadcast(blocks) if blocks.count() <= 100_000 else blocks
+    inside = (F.col("at") > F.col("_from")) & (F.col("_to").isNull() | (F.col("at") < F.col("_to")))
+    return lines.join(side, "file").where(inside).select("file", "table", "columns", "value")
+
+
+def copy_blocks(lines: DataFrame) -> DataFrame:
+    """(table, columns, rows) of the COPY blocks of dumps, given as (file, at, value); blocks without rows are left out."""
+    return copy_rows(lines).groupBy("file", "table", "columns").agg(F.count(F.lit(1)).alias("rows")).select("table", "columns", "rows")
