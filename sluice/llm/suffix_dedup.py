@@ -209,5 +209,7 @@ def remove(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", **option
     spans = cut(repeats(docs, text, **options))
     every = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.octet_length(own).cast("long").alias("n_bytes"), F.sha2(own, 256).alias("sha"), F.xxhash64(own).alias("tid"))
     digests = cut(_kept_digest(_picked(texts(docs, text), spans.select("tid", "spans"))))
-    joined = every.join(spans.join(digests, "tid"), "tid", "left")
+    # Written first, so that copies of one text, which share a tid, can be split over tasks when rows are joined.
+    found = cut(spans.join(digests, "tid"))
+    joined = every.join(found, "tid", "left")
     return joined.select("doc_id", "n_bytes", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.coalesce("n_spans", F.lit(0).cast("long")).alias("n_spans"), F.coalesce("kept", "sha").alias("kept_sha256"), F.coalesce("spans", F.array().cast(_SPANS)).alias("spans"))
