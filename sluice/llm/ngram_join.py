@@ -63,8 +63,8 @@ SPARE = 2
 BROADCAST_ROWS = 500_000
 #: Rows of one key that a task sends to one partition before it deals the rest over SALTS of them; rows are counted in SLOTS by hash, anew after as many rows.
 HOT, SALTS, SLOTS = 8, 64, 1 << 22
-#: Rows of units that are handed to Python at a time.
-GROUP = 4000
+#: Rows of units that are handed to Python at a time: to compare histograms, and to search sets.
+GROUP, SEARCHED = 4000, 500
 #: Bins of a set's histogram, and of the finer one of sets with more shingles than LONG.
 BINS, FINE, LONG = 256, 2048, 1000
 _STEP = np.uint64(0x100000001B3)
@@ -269,6 +269,8 @@ def _members(routed: DataFrame) -> DataFrame:
     # A key with salts has at least HOT rows without, so those are among several of one partition or salted.
     part = cut(local.where((F.col("lo") < F.col("hi")) | (F.col("salt") > 0)).distinct())
     hot = part.where(F.col("salt") > 0).select("key").distinct()
+    if hot.isEmpty():
+        return part.select("key", "cls", "lo", "hi")
     ends = _with(part, hot, "key", "left_semi").groupBy("key").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
     joined = _with(part, ends, "key", "left").select("key", "cls", F.coalesce("least", "lo").alias("lo"), F.coalesce("most", "hi").alias("hi"))
     return cut(joined.where(F.col("lo") < F.col("hi")).distinct())
@@ -338,14 +340,14 @@ def _search(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         other, me = other[other != me], me[other != me]
         return np.maximum(other, me), np.minimum(other, me)
 
-    pairs = cut(_by_unit(units, sets.select("cls", "sketch", F.size("grams").alias("n")), compare, "center", "cls").distinct())
-    return _by_unit(_shared_units(pairs), sets.select("cls", "grams"), search, "a", "b").distinct()
+    pairs = cut(_by_unit(units, sets.select("cls", "sketch", F.size("grams").alias("n")), compare, "center", "cls", GROUP).distinct())
+    return _by_unit(_shared_units(pairs), sets.select("cls", "grams"), search, "a", "b", SEARCHED).distinct()
 
 
-def _by_unit(units: DataFrame, data: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], a: str, b: str) -> DataFrame:
-    """fn of the queries and the index of each unit; several units of together about GROUP rows are handed over at once."""
+def _by_unit(units: DataFrame, data: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], a: str, b: str, rows: int) -> DataFrame:
+    """fn of the queries and the index of each unit; several units of together about so many rows are handed over at once."""
     units = cut(units)
-    groups = max(1, -(-units.count() // GROUP))
+    groups = max(1, -(-units.count() // rows))
     needed = units.select("cls").distinct()
     if needed.count() <= BROADCAST_ROWS:
         # Only what the units ask for is shuffled.
@@ -434,6 +436,8 @@ def _apart(pairs: DataFrame, roots: DataFrame) -> DataFrame:
 def _blocks(pairs: DataFrame) -> DataFrame:
     """The pairs with the number of blocks that their center's classes need."""
     many = pairs.groupBy("center").agg(F.ceil(F.count("cls") / BLOCK).alias("blocks")).where(F.col("blocks") > 1)
+    if many.isEmpty():
+        return pairs.withColumn("blocks", F.lit(1).cast("long"))
     return _with(pairs, many, "center", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
 
 
