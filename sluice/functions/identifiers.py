@@ -67,9 +67,10 @@ def _percent_decoded(text: Column) -> Column:
     return F.when(text.contains("%"), F.coalesce(F.try_url_decode(F.replace(text, F.lit("+"), F.lit("%2B"))), text)).otherwise(text)
 
 
-def canonical_doi(value: Column) -> Column:
-    """Lower-case DOI without resolver, prefix, closing punctuation or percent-escapes; null if it is none."""
-    text = F.lower(_percent_decoded(normalize_text(F.coalesce(value, F.lit("")))))
+def canonical_doi(value: Column, ascii_only: bool = False) -> Column:
+    """Lower-case DOI without resolver, prefix, closing punctuation or percent-escapes; null if it is none. ascii_only leaves out NFKC, for use within array functions."""
+    given = F.coalesce(value, F.lit(""))
+    text = F.lower(_percent_decoded(collapse(given) if ascii_only else normalize_text(given)))
     # A resolver's address: its path alone counts.
     path = F.regexp_extract(text, r"^[a-z][a-z0-9+.-]*://(?:(?:dx|www)\.)?doi\.org/+([^?#]*)", 1)
     # Parameters of the path's last part are not of the DOI.

@@ -55,7 +55,7 @@ def _paths(value: Any, prefix: str = "") -> Iterator[tuple[str, str]]:
         yield prefix, json.dumps(value, sort_keys=True)
 
 
-@F.pandas_udf("array<struct<path:string,value:string>>")
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("path", T.StringType()), T.StructField("value", T.StringType())])))
 def json_paths(text: pd.Series) -> pd.Series:
     """(path, value as JSON) of every leaf of nested objects, keys in order and joined by dots; lists are leaves. No JSON: no rows."""
 
@@ -68,7 +68,7 @@ def json_paths(text: pd.Series) -> pd.Series:
     return text.map(one)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def action_list(text: pd.Series) -> pd.Series:
     """The objects of a list, or of the list under the first of ACTION_KEYS that holds one, as JSON; else none."""
 

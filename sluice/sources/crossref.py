@@ -29,7 +29,7 @@ def works(raw: DataFrame) -> DataFrame:
     page = F.from_json("payload", "items array<string>")["items"]
     opened = raw.select("source_object_id", "provenance_event_id", "retrieved_at", F.posexplode(F.coalesce(page, F.array("payload"))).alias("position", "json"), page.isNotNull().alias("paged"))
     created, indexed = (F.coalesce(F.try_to_timestamp(F.col(f"w.{c}.date-time")), F.timestamp_millis(f"w.{c}.timestamp")) for c in ("created", "indexed"))
-    native = F.coalesce("w.DOI", "w.URL", stable_id("crossref_work", F.lit("crossref"), canonical_json(F.col("json"))))
+    native = F.coalesce("w.DOI", "w.URL", stable_id("crossref_work", F.lit("crossref"), F.coalesce(canonical_json(F.col("json")), F.col("json"))))
     return opened.withColumn("w", F.from_json("json", WORK)).select("source_object_id", "provenance_event_id", "position", "paged", "json", "w", native.alias("native"), canonical_doi(F.col("w.DOI")).alias("doi"), created.alias("created_at"), F.coalesce(indexed, created, "retrieved_at").alias("observed_at"))
 
 

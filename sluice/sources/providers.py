@@ -7,10 +7,14 @@ fanned out by selections; nothing is remembered between payloads, so any part ca
 
 from __future__ import annotations
 
+import json
+import xml.etree.ElementTree as ET
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice import schema
 from sluice.functions import text
@@ -284,8 +288,6 @@ _OAI = "id string, identifiers array<string>, title string, abstract string, des
 
 def _oai_fields(payload: str) -> dict:
     """The fields of a preprint's metadata, white space collapsed."""
-    import xml.etree.ElementTree as ET
-
     root = ET.fromstring(payload)
     named = lambda name: [e for e in root.iter() if parsers._local(e.tag) == name]
     one = lambda name: next((t for e in named(name)[:1] if (t := " ".join("".join(e.itertext()).split()))), None)
@@ -297,25 +299,22 @@ def _oai_fields(payload: str) -> dict:
     }
 
 
+@F.pandas_udf(T.StringType())
+def _oai_json(xml: pd.Series) -> pd.Series:
+    return xml.map(lambda x: None if x is None else json.dumps(_oai_fields(x)))
+
+
 def preprints(raw: DataFrame, source: str = "arxiv") -> Tables:
     """Preprints of an OAI repository: the work, each version with the visibility of its authors, the chain of versions, and its names.
 
     raw: identifier, datestamp, deleted and metadata_xml of each record, and metadata_prefix. Deleted records and
     those without a number give no rows.
     """
-    import json
-
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def fields(xml: pd.Series) -> pd.Series:
-        return xml.map(lambda x: None if x is None else json.dumps(_oai_fields(x)))
-
-    m = raw.where(~F.coalesce("deleted", F.lit(False)) & (F.coalesce("metadata_xml", F.lit("")) != "")).withColumn("m", F.from_json(fields(F.col("metadata_xml")), _OAI))
+    m = raw.where(~F.coalesce("deleted", F.lit(False)) & (F.coalesce("metadata_xml", F.lit("")) != "")).withColumn("m", F.from_json(_oai_json(F.col("metadata_xml")), _OAI))
     listed = F.get(F.filter("m.identifiers", lambda v: v.contains("arxiv.org/")), F.lit(0))
     number = canonical_identifier(F.lit("arxiv"), F.coalesce("m.id", listed, F.substring_index("identifier", ":", -1)))
     m = m.withColumn("number", number).where(F.coalesce("number", F.lit("")) != "")
-    doi = F.coalesce(canonical_doi(F.col("m.doi")), F.get(F.filter(F.transform("m.identifiers", canonical_doi), lambda d: d.isNotNull()), F.lit(0)))
+    doi = F.coalesce(canonical_doi(F.col("m.doi")), F.get(F.filter(F.transform("m.identifiers", lambda v: canonical_doi(v, ascii_only=True)), lambda d: d.isNotNull()), F.lit(0)))
     dated = F.filter(F.transform("m.versions", lambda v: F.struct(v["label"].alias("label"), text.moment(v["date"]).alias("at"))), lambda v: v["at"].isNotNull())
     plain = F.when(F.size("m.dates") > 0, F.col("m.dates")).otherwise(F.array(F.coalesce("m.created", "datestamp")))
     fallback = F.filter(F.transform(plain, lambda d, i: F.struct(F.concat(F.lit("v"), (i + 1).cast("string")).alias("label"), text.moment(d).alias("at"))), lambda v: v["at"].isNotNull())
