@@ -251,7 +251,12 @@ def _routes(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
                 own = cls[np.array(fresh, np.int64)][at]
                 if (counted := counted + len(key)) > SLOTS:
                     slots[:], counted = 0, len(key)
-                yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(_salts(key, own, slots)), pa.array(own)], names=["key", "salt", "cls"])
+                salt = _salts(key, own, slots)
+                # One of a key's salted rows goes without salt as well, so that rows without meet it whoever sends them.
+                dealt = np.flatnonzero(salt)
+                also = dealt[np.unique(key[dealt], return_index=True)[1]]
+                columns = (np.append(key, key[also]), np.append(salt, np.zeros(len(also), np.int32)), np.append(own, own[also]))
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "salt", "cls"])
 
     return docs.select(docs[text].alias("text")).mapInArrow(run, "key long, salt int, cls long")
 
@@ -266,7 +271,7 @@ def _members(routed: DataFrame) -> DataFrame:
     """(key, cls, lo, hi) of the keys that several classes share, with the key's least and greatest class."""
     by = Window.partitionBy("key", "salt")
     local = routed.select("key", "salt", "cls", F.min("cls").over(by).alias("lo"), F.max("cls").over(by).alias("hi"))
-    # A key with salts has at least HOT rows without, so those are among several of one partition or salted.
+    # Of a key with salts a row without is left out only where no other class is among those, and then the class is among the salted ones.
     part = cut(local.where((F.col("lo") < F.col("hi")) | (F.col("salt") > 0)).distinct())
     hot = part.where(F.col("salt") > 0).select("key").distinct()
     if hot.isEmpty():

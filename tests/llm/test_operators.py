@@ -630,8 +630,11 @@ def test_keep_first_knows_rows_by_id_and_text(spark):
     assert got == sorted([*one, (7, b), (9, c), (None, a), (12, "")], key=str)
 
 
-def test_ngram_join_of_one_key_in_most_rows(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "HOT", 2)
+@pytest.mark.parametrize(("hot", "slots"), [(2, 1 << 22), (1, 4)])
+def test_ngram_join_of_one_key_in_most_rows(spark, monkeypatch, hot, slots):
+    # With four slots nearly every row is dealt, some keys only in part.
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "SLOTS", slots)
     base = words(60, 200).split()
     texts = [" ".join([*base, f"x{i}"]) for i in range(120)] + [words(50, 300 + i) for i in range(30)]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(table(spark, texts)).collect()}
