@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sluice.functions.identifiers import stable_id
+
 
 def star(base: DataFrame, key: str, *sides: DataFrame) -> DataFrame:
     """The base with each pre-aggregated side joined to it; sides are one row a key."""
@@ -49,6 +51,13 @@ def match_interval(periods: DataFrame, intervals: DataFrame, key: str, start: st
     return out.withColumn("matched_id", F.coalesce(given, found)).withColumn("match_method", how).drop(period_id, "_best")
 
 
+def policy_archive(cycles: DataFrame, policies: DataFrame, source: Column, cycle_id: str = "gate_cycle_id", **names: str) -> DataFrame:
+    """Each cycle with its policy as match_interval finds it; a cycle without one points to a policy made up for it, that says it is unknown."""
+    found = match_interval(cycles, policies, **names)
+    made = stable_id("policy_version", source, F.concat(F.lit("unknown:"), F.col(cycle_id).cast("string")))
+    return found.withColumn("policy_version_id", F.coalesce(F.col("matched_id").cast("string"), made)).withColumn("release_treatment", F.when(F.col("matched_id").isNull(), "pointer_only_unknown"))
+
+
 def missing_numbers(df: DataFrame, key: str, number: str, first: int = 1) -> DataFrame:
     """Numbers from the first to each key's greatest that it lacks."""
     seen = df.groupBy(key).agg(F.collect_set(F.col(number).cast("long")).alias("seen"), F.max(F.col(number).cast("long")).alias("top"))

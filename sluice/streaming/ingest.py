@@ -31,6 +31,45 @@ def guard(spark: SparkSession, checkpoint: str, parameters: dict) -> str:
     return own
 
 
+def _exists(spark: SparkSession, path: str) -> bool:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
+
+
+def fingerprint(df: DataFrame) -> tuple[int, str]:
+    """Rows and a digest of them that their order does not change."""
+    row = F.xxhash64(*[F.to_json(F.struct(c)) for c in sorted(df.columns)])
+    got = df.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(row.cast("decimal(38,0)")), F.lit(0)).cast("string").alias("s"), F.coalesce(F.bit_xor(row), F.lit(0)).cast("string").alias("x")).first()
+    return got["n"], hashlib.sha256(f"{got['n']}|{got['s']}|{got['x']}".encode()).hexdigest()
+
+
+def stage_batch(batch: DataFrame, target: str, number: int) -> str:
+    """Write a batch to its own folder with its fingerprint; a batch that was there with other rows is refused, one with the same rows is left as it is."""
+    spark, path = batch.sparkSession, f"{target.rstrip('/')}/batch={number}"
+    rows, digest = fingerprint(batch)
+    mark = f"{target.rstrip('/')}/_fingerprints/{number}"
+    if _exists(spark, mark):
+        if spark.read.parquet(mark).first()["digest"] != digest:
+            raise ValueError(f"batch {number} was staged with other rows")
+        return digest
+    batch.write.mode("overwrite").parquet(path)
+    spark.createDataFrame([(number, rows, digest)], "batch long, rows long, digest string").coalesce(1).write.mode("overwrite").parquet(mark)
+    return digest
+
+
+def finish(spark: SparkSession, target: str, parameters: dict) -> dict:
+    """The manifest of a completed run: made once from its batches' fingerprints, and from then on returned as it is stored. Other parameters are refused."""
+    path, own = f"{target.rstrip('/')}/_manifest", query_hash(parameters)
+    if not _exists(spark, path):
+        marks = spark.read.parquet(f"{target.rstrip('/')}/_fingerprints/*")
+        one = marks.agg(F.count(F.lit(1)).alias("batches"), F.sum("rows").alias("rows"), F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("batch", "digest")))), 256).alias("digest"))
+        one.withColumn("query_hash", F.lit(own)).coalesce(1).write.parquet(path)
+    found = spark.read.parquet(path).first().asDict()
+    if found["query_hash"] != own:
+        raise ValueError("the completed run had other parameters")
+    return found
+
+
 def staged(stream: DataFrame, target: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame] = lambda df: df) -> StreamingQuery:
     """Write each batch to its own folder under the target; a batch that runs again replaces itself, so nothing is written twice."""
 

@@ -29,6 +29,37 @@ def test_lake_round_trip(spark, tmp_path):
     assert checksums(spark, str(tmp_path / "lake")).count() > 2
 
 
+def test_changed_and_missing_shards_are_found(spark, tmp_path):
+    lake = Lake(spark, str(tmp_path / "lake"))
+    lake.write("gate", gates(spark, "A", 1, "2026-01-01"), "s", "r1")
+    lake.write("gate", gates(spark, "B", 2, "2026-01-02"), "s", "r2")
+    folder = tmp_path / "lake" / "gate" / "source_id=s"
+    gates(spark, "C", 3, "2026-01-03").drop("source_id").coalesce(1).write.mode("append").parquet(str(folder / "run=r9"))
+    assert lake.history("gate").count() == 2
+    for shard in (folder / "run=r1").glob("*.parquet"):
+        shard.write_bytes(next((folder / "run=r2").glob("*.parquet")).read_bytes())
+    for extra in (folder / "run=r1").glob(".*.crc"):
+        extra.unlink()
+    for shard in (folder / "run=r2").glob("*.parquet"):
+        shard.unlink()
+    assert sorted((r["run"], r["problem"]) for r in lake.verify().collect()) == [("r1", "changed"), ("r2", "missing"), ("r9", "not in the manifest")]
+
+
+def test_batches_replay_and_runs_freeze(spark, tmp_path):
+    target = str(tmp_path / "stage")
+    rows = spark.range(50)
+    assert ingest.stage_batch(rows, target, 0) == ingest.stage_batch(rows.repartition(7), target, 0)
+    ingest.stage_batch(spark.range(5), target, 1)
+    with pytest.raises(ValueError, match="other rows"):
+        ingest.stage_batch(spark.range(51), target, 0)
+    first = ingest.finish(spark, target, {"a": 1})
+    assert (first["batches"], first["rows"]) == (2, 55)
+    ingest.stage_batch(spark.range(3), target, 2)
+    assert ingest.finish(spark, target, {"a": 1}) == first
+    with pytest.raises(ValueError, match="other parameters"):
+        ingest.finish(spark, target, {"a": 2})
+
+
 def test_guard_refuses_other_parameters(spark, tmp_path):
     path = str(tmp_path / "cp")
     assert ingest.guard(spark, path, {"a": 1, "b": 2}) == ingest.guard(spark, path, {"b": 2, "a": 1})

@@ -100,6 +100,14 @@ def test_interval_match_prefers_declared_then_last(spark):
     assert sorted((r["k"], r["matched_id"] or "", r["match_method"]) for r in out) == [(1, "b", "interval_overlap"), (1, "p0", "source_declared"), (2, "", "explicit_unknown_pointer")]
 
 
+def test_policies_are_made_up_where_none_is_known(spark):
+    periods = spark.createDataFrame([("c1", 1, 5, 8), ("c2", 2, 5, 8)], "gate_cycle_id string, k int, s int, e int")
+    intervals = spark.createDataFrame([(1, 1, 6, "a")], "k int, f int, t int, id string")
+    out = flow.policy_archive(periods, intervals, F.lit("src"), key="k", start="s", end="e", valid_from="f", valid_to="t", interval_id="id")
+    unknown = "obs:policy_version:" + str(uuid.uuid5(identifiers.NAMESPACE, "policy_version|src|unknown:c2"))
+    assert {(r["gate_cycle_id"], r["policy_version_id"], r["release_treatment"]) for r in out.collect()} == {("c1", "a", None), ("c2", unknown, "pointer_only_unknown")}
+
+
 def test_statistics(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 1.0), ("b", 3.0), ("b", 3.0)], "g string, v double").withColumn("o", F.lit(1))
     assert panels.icc(df, ["o"], "g", "v").first()["icc"] == 1.0
