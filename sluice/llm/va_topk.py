@@ -42,7 +42,7 @@ from sluice.session import cut
 
 K, SCALE = 20, 64.0
 #: Bits of a cell.
-BITS = 5
+BITS = 6
 #: Vectors of a page, pages of a unit and queries of a unit.
 PAGE, PAGES, QUERIES = 8192, 32, 1024
 #: Exact vectors read at first for one query, in multiples of k.
