@@ -211,8 +211,8 @@ def _documents(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame
     return map_arrow(rows, run, "doc_id long, mark long, n_shingles long, cls long")
 
 
-def _salts(key: np.ndarray, cls: np.ndarray, seen: np.ndarray) -> np.ndarray:
-    """0 for the first HOT rows of a key that a task meets, then a number by class; seen counts the rows by slot."""
+def _salts(key: np.ndarray, cls: np.ndarray, seen: np.ndarray, hot: int) -> np.ndarray:
+    """0 for the first `hot` rows of a key that a task meets, then a number by class; seen counts the rows by slot."""
     if not len(key):
         return np.zeros(0, np.int32)
     slot = (key.view(np.uint64) % np.uint64(len(seen))).astype(np.int64)
@@ -222,7 +222,7 @@ def _salts(key: np.ndarray, cls: np.ndarray, seen: np.ndarray) -> np.ndarray:
     size = np.diff(np.append(start, len(order)))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order)) - np.repeat(start, size)
-    beyond = place + seen[slot] >= HOT
+    beyond = place + seen[slot] >= hot
     seen[slot[order[start]]] += size.astype(seen.dtype)
     dealt = 1 + (mix(cls.view(np.uint64)) % np.uint64(SALTS)).astype(np.int32)
     return np.where(beyond, dealt, 0).astype(np.int32)
@@ -251,7 +251,7 @@ def _routes(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
                 own = cls[np.array(fresh, np.int64)][at]
                 if (counted := counted + len(key)) > SLOTS:
                     slots[:], counted = 0, len(key)
-                salt = _salts(key, own, slots)
+                salt = _salts(key, own, slots, HOT)
                 # One of a key's salted rows goes without salt as well, so that rows without meet it whoever sends them.
                 dealt = np.flatnonzero(salt)
                 also = dealt[np.unique(key[dealt], return_index=True)[1]]
