@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sluice.functions.identifiers import NAMESPACE
-from sluice.sources import parsers, providers, raw
+from sluice.sources import indexes, parsers, providers, raw
 
 RAW = "source_object_id string, provenance_event_id string, payload string"
 
@@ -168,3 +168,36 @@ def test_release(spark, tmp_path):
     version = dict.fromkeys(raw.RELEASE_COLUMNS, "1")
     out = raw.release({"a": spark.range(3), "b": spark.range(2)}, str(tmp_path / "r"), version).collect()
     assert [(r["table"], r["rows"], r["columns"]) for r in out] == [("a", 3, 7), ("b", 2, 7)]
+
+
+def test_discussion_records(spark):
+    dc = '<oai_dc:dc xmlns:oai_dc="o" xmlns:dc="http://purl.org/dc/elements/1.1/"><dc:title>{}</dc:title><dc:identifier>{}</dc:identifier><dc:date>2023-04-05</dc:date><dc:language>eng</dc:language></oai_dc:dc>'
+    record = "<record><header{}><identifier>{}</identifier><datestamp>2023-05-01</datestamp></header>{}</record>"
+    body = [
+        record.format("", "r1", "<metadata>" + dc.format("Ice & rain", "https://doi.org/10.5194/tc-2023-12") + "</metadata>"),
+        record.format("", "r2", "<metadata>" + dc.format("Final", "https://tc.copernicus.org/articles/1/2</dc:identifier><dc:identifier>10.5194/tc-17-1") + "</metadata>"),
+        record.format(' status="deleted"', "r3", ""),
+        record.format("", "r4", "<metadata>" + dc.format("No number", "none") + "</metadata>"),
+    ]
+    pages = spark.createDataFrame([("o1", "p1", '<OAI-PMH xmlns="http://www.openarchives.org/OAI/2.0/"><ListRecords>' + "".join(body) + "</ListRecords></OAI-PMH>")], RAW)
+    records = indexes.oai_records(pages.withColumns({"source_url": F.lit("u"), "licence": F.lit("l"), "release_class": F.lit("pointer_hash")}))
+    assert {r["repairs"] for r in records.collect()} == {1}
+    got = held(indexes.discussion_records(records))
+    assert {t: len(r) for t, r in got.items()} == {"content_artifact": 6, "gate": 1, "gate_cycle": 1, "candidate": 2, "candidate_version": 2, "identifier_alias": 2, "candidate_gate_event": 1}
+    assert sorted(r["object_type"] for r in got["content_artifact"] if "wrapper" in r["object_type"]) == ["oai_record_wrapper__deleted", "oai_record_wrapper__discussion_preprint", "oai_record_wrapper__final_article", "oai_record_wrapper__unclassified"]
+    assert got["gate"][0]["native_id"] == "tc" and got["candidate_gate_event"][0]["native_id"] == "10.5194/tc-2023-12"
+    assert {r["canonical_title"] for r in got["candidate"]} == {"Ice & rain", "Final"}
+
+
+def test_life_science_results(spark):
+    works = [
+        {"id": "1", "source": "MED", "doi": "10.1234/A", "pmid": "11", "title": "Retracted work", "isRetracted": "Y", "journalTitle": "J", "commentCorrectionList": {"commentCorrection": [{"id": "77", "source": "MED", "type": "Erratum in"}, {"type": "Comment"}]}},
+        {"id": "2", "source": "PPR", "title": "WITHDRAWN: B", "pubTypeList": {"pubType": "preprint"}, "commentCorrectionList": {"commentCorrection": {"id": "88", "source": "PPR", "type": "Update of"}}},
+        {"id": "3", "source": "MED", "pmcid": "PMC3", "title": "C", "pubTypeList": {"pubType": ["a", "withdrawal notice"]}},
+    ]
+    df = frame(spark, works).withColumns({"created_at": F.lit("2020-01-01").cast("timestamp"), "release_class": F.lit("pointer_hash")})
+    got = held(indexes.life_science_results(df))
+    assert {t: len(r) for t, r in got.items()} == {"candidate": 3, "candidate_version": 3, "identifier_alias": 3, "field_assignment": 1, "downstream_outcome": 6, "lineage_edge": 2}
+    assert {r["canonical_title"]: r["status"] for r in got["candidate"]} == {"Retracted work": "retracted", "WITHDRAWN: B": "withdrawn", "C": "withdrawn"}
+    assert {r["relation_type"] for r in got["lineage_edge"]} == {"Erratum in", "Update of"}
+    assert key("candidate", "med", "77") in {r["target_candidate_id"] for r in got["lineage_edge"]}
