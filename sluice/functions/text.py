@@ -375,6 +375,32 @@ def declared_release(object_type: Column, licence: Column, declared: Column) ->
     return F.when(declared.isin("pointer_hash", "derived_only", "exclude"), declared).when(claimed & (decided != "redistribute"), "pointer_hash").otherwise(decided)
 
 
+def claim_numbers(claims: Column) -> Column:
+    """Struct of claims by their leading number (the first of each), and the numbers that several claims have; claims without a number are left out."""
+    number = lambda c: F.regexp_extract(c, r"^\s*(\d+)\s*[.)]", 1)
+    listed = F.filter(F.coalesce(claims, F.array().cast("array<string>")), lambda c: number(c) != "")
+    numbers = F.transform(listed, lambda c: number(c).cast("int"))
+    once = F.array_distinct(numbers)
+    by = F.map_from_arrays(once, F.transform(once, lambda n: F.element_at(listed, F.array_position(numbers, n).cast("int"))))
+    twice = F.filter(once, lambda n: F.size(F.filter(numbers, lambda m: m == n)) > 1)
+    return F.struct(by.alias("claims"), F.array_sort(twice).alias("ambiguous"))
+
+
+def pointer_problems(source_url: Column, retrieval_target: Column, object_locator: Column, byte_hash: Column, text_hash: Column, verified: Column, automatic: Column) -> Column:
+    """What is wrong with a pointer to an object: addresses that are not https, a missing locator, no digest that can be one, a digest that need not be checked, or a right to pass on by itself."""
+    https = lambda c: F.coalesce(F.trim(c).rlike(r"^https://[^/?#\s]+"), F.lit(False))
+    return F.array_compact(
+        F.array(
+            F.when(~https(source_url), F.lit("source_url")),
+            F.when(~https(retrieval_target), F.lit("retrieval_target")),
+            F.when(F.trim(F.coalesce(object_locator, F.lit(""))) == "", F.lit("object_locator")),
+            F.when(~genuine_sha256(F.trim(byte_hash)) & ~genuine_sha256(F.trim(text_hash)), F.lit("expected_hash")),
+            F.when(~F.coalesce(verified, F.lit(False)), F.lit("hash_verification_required")),
+            F.when(F.coalesce(automatic, F.lit(False)), F.lit("automatic_redistribution_allowed")),
+        )
+    )
+
+
 def genuine_sha256(value: Column) -> Column:
     """64 hexadecimal digits, not all the same."""
     return F.coalesce(F.lower(value).rlike("^[0-9a-f]{64}$") & (F.size(F.array_distinct(F.split(F.lower(value), ""))) > 1), F.lit(False))

@@ -51,6 +51,23 @@ def match_interval(periods: DataFrame, intervals: DataFrame, key: str, start: st
     return out.withColumn("matched_id", F.coalesce(given, found)).withColumn("match_method", how).drop(period_id, "_best")
 
 
+def cycle_flows(cycles: DataFrame) -> DataFrame:
+    """Cycles with the counts that hold, their violations, and the grade that is left.
+
+    Declared counts (received, observable_declared, evaluated_declared, selected_declared) go before
+    what the provider expects (expected) and what is found (observable, evaluated, selected, decided).
+    A violation takes grades A and B away.
+    """
+    final = lambda declared, found: F.coalesce(declared, found)
+    out = cycles.withColumns(
+        {"received_final": final("received", "expected"), "observable_final": final("observable_declared", "observable"), "evaluated_final": final("evaluated_declared", "evaluated"), "selected_final": final("selected_declared", "selected")}
+    )
+    checks = flow_checks(F.col("received_final"), F.col("observable_final"), F.col("evaluated_final"), F.col("selected_final"), F.col("decided"))
+    out = out.withColumn("violations", checks)
+    lost = (F.size("violations") > 0) & F.col("grade").isin("A", "B")
+    return out.withColumn("effective_grade", F.when(lost, "U").otherwise(F.col("grade")))
+
+
 def policy_archive(cycles: DataFrame, policies: DataFrame, source: Column, cycle_id: str = "gate_cycle_id", **names: str) -> DataFrame:
     """Each cycle with its policy as match_interval finds it; a cycle without one points to a policy made up for it, that says it is unknown."""
     found = match_interval(cycles, policies, **names)

@@ -381,3 +381,66 @@ def reference_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matching.match_references(refs, works).withColumn("confidence", F.round("confidence", 6))
 
 
+
+
+@query(
+    "cycle_flow_grades",
+    """
+    WITH c AS (
+      SELECT o_custkey, CASE WHEN o_custkey % 3 = 0 THEN count(*) END AS received, CASE WHEN o_custkey % 5 <> 0 THEN count(*) + o_custkey % 4 - 1 END AS expected, count(DISTINCT o_orderdate) AS observable, count(*) FILTER (o_totalprice > 100000) AS evaluated,
+        CASE WHEN o_custkey % 7 = 0 THEN count(*) + 1 END AS selected_declared, count(*) FILTER (o_orderstatus = 'F') AS selected, count(*) FILTER (o_orderstatus <> 'O') AS decided, CASE o_custkey % 4 WHEN 0 THEN 'A' WHEN 1 THEN 'B' WHEN 2 THEN 'C' END AS grade
+      FROM orders GROUP BY 1
+    ), f AS (SELECT *, coalesce(received, expected) AS r, coalesce(selected_declared, selected) AS s FROM c),
+    v AS (SELECT *, concat_ws(',', CASE WHEN observable > r THEN 'observable_gt_received' END, CASE WHEN evaluated > observable THEN 'evaluated_gt_observable' END, CASE WHEN s > observable THEN 'selected_gt_observable' END, CASE WHEN decided > observable THEN 'decided_gt_observable' END) AS violations FROM f)
+    SELECT o_custkey, r::bigint AS received_final, s::bigint AS selected_final, violations, CASE WHEN violations <> '' AND grade IN ('A', 'B') THEN 'U' ELSE grade END AS effective_grade FROM v
+    """,
+)
+def cycle_flow_grades(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of each customer's orders as a cycle's flow, with violations and the grade that is left."""
+    from sluice.operators import flow
+
+    k, n = F.col("o_custkey"), F.count(F.lit(1))
+    none = F.lit(None).cast("long")
+    c = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(
+        n.alias("n"), F.count_distinct("o_orderdate").alias("observable"), F.count_if(F.col("o_totalprice") > 100000).alias("evaluated"), F.count_if(F.col("o_orderstatus") == "F").alias("selected"), F.count_if(F.col("o_orderstatus") != "O").alias("decided")
+    )
+    c = c.select(
+        "*", F.when(k % 3 == 0, F.col("n")).alias("received"), F.when(k % 5 != 0, F.col("n") + k % 4 - 1).alias("expected"), none.alias("observable_declared"), none.alias("evaluated_declared"), F.when(k % 7 == 0, F.col("n") + 1).alias("selected_declared"),
+        F.when(k % 4 == 0, "A").when(k % 4 == 1, "B").when(k % 4 == 2, "C").alias("grade"),
+    )
+    return flow.cycle_flows(c).select("o_custkey", "received_final", "selected_final", F.array_join("violations", ",").alias("violations"), "effective_grade")
+
+
+@query(
+    "claim_features",
+    r"""
+    SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '(?i)\b(?:method|algorithm|experiment|simulation|regression|survey|dataset)\b'))::bigint AS method, len(regexp_extract_all(coalesce(text, ''), '(?i)\b(?:code|data|repository|github|zenodo|osf)\b'))::bigint AS data_or_code,
+      len(regexp_extract_all(coalesce(text, ''), '(?i)\b(?:limitation|limited by|future work|cannot establish|uncertain)\b'))::bigint AS limitation, coalesce(trim(text), '') <> '' AS has_text FROM documents
+    """,
+)
+def claim_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements of some kinds in each document."""
+    from sluice.functions import text
+
+    d = table(spark, sf_dir, "documents")
+    counts = text.claim_counts(F.col("text"))
+    return d.select("doc_id", *[counts[c].cast("long").alias(c) for c in ("method", "data_or_code", "limitation")], (F.coalesce(F.trim("text"), F.lit("")) != "").alias("has_text"))
+
+
+@query(
+    "novelty_z",
+    """
+    WITH n AS (SELECT vec_id, label, list_transform(embedding::double[], lambda x: x / sqrt(list_dot_product(embedding::double[], embedding::double[]))) AS u FROM embeddings),
+    f AS (SELECT label, unnest(u) AS x, generate_subscripts(u, 1) AS d FROM n), s AS (SELECT label, d, sum(x) AS s, count(*) AS c FROM f GROUP BY 1, 2),
+    p AS (SELECT t.label, s.d, sum(s.s) AS s, sum(s.c) AS c FROM (SELECT DISTINCT label FROM n) t JOIN s ON s.label < t.label GROUP BY 1, 2), v AS (SELECT label, max(c) AS refs, list(s ORDER BY d) AS p FROM p GROUP BY 1),
+    e AS (SELECT vec_id, label, 1 - list_dot_product(u, p) / sqrt(list_dot_product(p, p)) AS distance FROM n JOIN v USING (label) WHERE refs >= 20)
+    SELECT vec_id, label, round(CASE WHEN stddev_pop(distance) OVER w > 0 THEN (distance - avg(distance) OVER w) / stddev_pop(distance) OVER w ELSE 0 END, 4) AS z FROM e WINDOW w AS (PARTITION BY vec_id % 3, label)
+    """,
+)
+def novelty_z(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distances to earlier cohorts' centroid, standardised within source (made of the number) and cohort."""
+    from sluice.operators import panels
+
+    found = novelty.prior_centroid_distance(table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label", 20)
+    z = panels.calibrated(found.withColumn("source", F.col("vec_id") % 3), ["source", "label"], "distance")
+    return z.select("vec_id", "label", F.round("z", 4).alias("z"))

@@ -390,6 +390,25 @@ golden(
     rules.effective_grade,
     "Grades that are left by coverage and violations.",
 )
+golden(
+    "claim_number_rules",
+    "claims array<string>",
+    [(["1. A device.", "2. The device of claim 1.", "no number"], "1=1. A device.;2=2. The device of claim 1.|"), (["1. A.", "1. B.", "3) C"], "1=1. A.;3=3) C|1"), ([], "|"), (None, "|")],
+    lambda c: F.concat_ws("|", F.array_join(F.transform(F.map_entries(text.claim_numbers(c)["claims"]), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"])), ";"), F.array_join(text.claim_numbers(c)["ambiguous"].cast("array<string>"), ",")),
+    "Claims by number, and numbers that several claims have.",
+)
+golden(
+    "pointer_rules",
+    "url string, target string, locator string, bytes string, text string, verified boolean, automatic boolean",
+    [
+        ("https://a.org/x", "https://a.org/y", "l", "ab" * 32, None, True, False, ""),
+        ("https://a.org/x", "https://a.org/y", "l", None, "cd" * 32, True, None, ""),
+        ("http://a.org/x", None, " ", "0" * 64, None, True, False, "source_url,retrieval_target,object_locator,expected_hash"),
+        ("https://localhost", "https://a", "l", "ab" * 32, None, None, True, "hash_verification_required,automatic_redistribution_allowed"),
+    ],
+    lambda *c: F.array_join(text.pointer_problems(*c), ","),
+    "What is wrong with pointers.",
+)
 golden("sha_rules", "value string", [("ab" * 32, "true"), ("0" * 64, "false"), ("xyz", "false"), (None, "false")], text.genuine_sha256, "Plausible digests.")
 
 
