@@ -593,12 +593,13 @@ def test_ngram_join(spark, corpus, block, hot, group, monkeypatch):
     rng = random.Random(4)
     chain = words(150, 77).split()
     texts = list(corpus)
-    for _ in range(40):
+    small = block < 10  # many units: fewer texts
+    for _ in range(12 if small else 40):
         chain = list(chain)
         chain[rng.randrange(len(chain))] = f"n{rng.randrange(10**6)}"
         texts.append(" ".join(chain))
     hub = words(100, 78).split()
-    texts += [" ".join(f"h{k}" if i in (3 * k % 100, (7 * k + 50) % 100) else w for i, w in enumerate(hub)) for k in range(25)]
+    texts += [" ".join(f"h{k}" if i in (3 * k % 100, (7 * k + 50) % 100) else w for i, w in enumerate(hub)) for k in range(8 if small else 25)]
     for name, value in (("BLOCK", block), ("HOT", hot), ("GROUP", group)):
         monkeypatch.setattr(ngram_join, name, value)
     docs = table(spark, texts)
