@@ -448,7 +448,8 @@ def _blocks(pairs: DataFrame) -> DataFrame:
 
 def _roles(dealt: DataFrame) -> DataFrame:
     """(unit, cls, role) of (unit, center, cls): centers ask, the others are the index."""
-    return dealt.select("unit", "cls", F.lit(1).alias("role")).unionByName(dealt.select("unit", F.col("center").alias("cls"), F.lit(0).alias("role"))).distinct()
+    both = F.array(F.struct("cls", F.lit(1).alias("role")), F.struct(F.col("center").alias("cls"), F.lit(0).alias("role")))
+    return dealt.select("unit", F.explode(both).alias("r")).select("unit", "r.cls", "r.role").distinct()
 
 
 def _star_units(pairs: DataFrame) -> DataFrame:
