@@ -283,7 +283,7 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "piece_
         was = gc.isenabled()
         gc.disable()
         try:
-            yield from list(coded(batch))
+            yield from coded(batch)
         finally:
             if was:
                 gc.enable()
