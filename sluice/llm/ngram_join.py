@@ -24,6 +24,10 @@ A document's set holds the distinct `WORDS`-word shingles of its whole, A-Z lowe
    outside the largest component against one block of the rest, then whatever is left
    against every block. Pairs within one component need no test, so a group of near copies
    costs searches in proportion to its size, yet no link between components is missed.
+5. Disk. Texts are never shuffled; shingles are written only of classes in pairs that the
+   histograms let pass, made again from the texts for each search. Units are dealt to rounds,
+   one after the other, so that what is shuffled at a time stays in proportion to the sets,
+   however many candidates each has; what a step no longer reads is deleted.
 
 All rows of documents are covered; no list, group or key is capped. A key that a task meets more
 than `HOT` times has its further rows dealt by class over `SALTS` partitions, whose least and
@@ -42,6 +46,8 @@ from __future__ import annotations
 import heapq
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
@@ -49,9 +55,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sluice.llm.common import chunks, free_name, map_arrow
+from sluice.llm.common import chunks, free_name, map_arrow, trim
 from sluice.llm.text_stats import mix, split_words
-from sluice.session import cut
+from sluice.session import cut, release
 
 #: Words in a shingle and the least similarity in percent: fixed by the contract.
 WORDS, PERCENT = 4, 85
@@ -59,12 +65,14 @@ WORDS, PERCENT = 4, 85
 BLOCK = 256
 #: Parts beyond those that two linked sets can differ in; sets with more empty parts route those too.
 SPARE = 2
-#: Class representatives up to so many have their texts picked by broadcast (16 bytes each), beyond by a shuffle.
+#: Class representatives whose texts are picked at a time, and rows left out at a time, by broadcast (16 bytes each).
 BROADCAST_ROWS = 500_000
 #: Rows of one key that a task sends to one partition before it deals the rest over SALTS of them; rows are counted in SLOTS by hash, anew after as many rows.
 HOT, SALTS, SLOTS = 8, 64, 1 << 22
 #: Rows of units that are handed to Python at a time: to compare histograms, and to search sets.
 GROUP, SEARCHED = 4000, 500
+#: Bytes that one round of units shuffles at least; more where the sets themselves have more.
+ROUND = 256 << 20
 #: Bins of a set's histogram, and of the finer one of sets with more shingles than LONG.
 BINS, FINE, LONG = 256, 2048, 1000
 _STEP = np.uint64(0x100000001B3)
@@ -198,17 +206,18 @@ class Index:
 
 
 def _documents(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, mark, n_shingles, cls) of every row; mark is a hash of the text, cls is null without shingles."""
+    """(doc_id, mark, n_shingles, cls, sketch) of every row; mark is a hash of the text, cls is null without shingles."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         every = batch.column(2).to_pylist()
         for a, b in chunks(every):
             sets = shingle_sets(every[a:b], words)
             n = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(class_ids(sets), mask=n == 0)], names=["doc_id", "mark", "n_shingles", "cls"])
+            columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(class_ids(sets), mask=n == 0), pa.array([sketch(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "cls", "sketch"])
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("text"))
-    return map_arrow(rows, run, "doc_id long, mark long, n_shingles long, cls long")
+    return map_arrow(rows, run, "doc_id long, mark long, n_shingles long, cls long, sketch binary")
 
 
 def _salts(key: np.ndarray, cls: np.ndarray, seen: np.ndarray, hot: int) -> np.ndarray:
@@ -257,6 +266,7 @@ def _routes(docs: DataFrame, text: str, words: int, percent: int) -> DataFrame:
                 also = dealt[np.unique(key[dealt], return_index=True)[1]]
                 columns = (np.append(key, key[also]), np.append(salt, np.zeros(len(also), np.int32)), np.append(own, own[also]))
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["key", "salt", "cls"])
+        trim()
 
     return docs.select(docs[text].alias("text")).mapInArrow(run, "key long, salt int, cls long")
 
@@ -275,17 +285,35 @@ def _members(routed: DataFrame) -> DataFrame:
     part = cut(local.where((F.col("lo") < F.col("hi")) | (F.col("salt") > 0)).distinct())
     hot = part.where(F.col("salt") > 0).select("key").distinct()
     if hot.isEmpty():
-        return part.select("key", "cls", "lo", "hi")
+        return part
     ends = _with(part, hot, "key", "left_semi").groupBy("key").agg(F.min("lo").alias("least"), F.max("hi").alias("most"))
     joined = _with(part, ends, "key", "left").select("key", "cls", F.coalesce("least", "lo").alias("lo"), F.coalesce("most", "hi").alias("hi"))
-    return cut(joined.where(F.col("lo") < F.col("hi")).distinct())
+    whole = cut(joined.where(F.col("lo") < F.col("hi")).distinct())
+    release(part)
+    return whole
 
 
-def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(cls, grams, sketch) of the wanted (doc_id, cls)."""
-    few = wanted.count() <= BROADCAST_ROWS
-    side = wanted.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls"))
-    rows = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("_text")).join(F.broadcast(side) if few else side, "_id").select("_cls", "_text")
+def _slices(rows: DataFrame, *by: str) -> Iterator[DataFrame]:
+    """The rows in parts that can be broadcast."""
+    parts = -(-rows.count() // BROADCAST_ROWS)
+    for k in range(parts):
+        yield F.broadcast(rows.where(F.pmod(F.xxhash64(*by, F.lit(13)), F.lit(parts)) == k))
+
+
+def _sketches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(cls, n, sketch) of the wanted (doc_id, cls), once each."""
+    side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
+    found = cut(rows.join(side, ["doc_id", "cls"]).select("cls", F.col("n_shingles").alias("n"), "sketch"))
+    # Repeated rows give the same set again; only then are sketches moved to drop them.
+    if found.groupBy("cls").count().where(F.col("count") > 1).isEmpty():
+        return found
+    once = cut(found.dropDuplicates(["cls"]))
+    release(found)
+    return once
+
+
+def _grams(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int) -> list[DataFrame]:
+    """(cls, grams) of the wanted (doc_id, cls), once each: cut parts, none of them made by a shuffle of texts."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         every, cls = batch.column(1).to_pylist(), batch.column(0).to_numpy()
@@ -293,13 +321,19 @@ def _sets(docs: DataFrame, wanted: DataFrame, doc_id: str, text: str, words: int
             sets = shingle_sets(every[a:b], words)
             # Another text may share the id.
             same = np.flatnonzero(class_ids(sets) == cls[a:b])
-            columns = [pa.array(cls[a:b][same]), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64())), pa.array([sketch(sets[i]) for i in same], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["cls", "grams", "sketch"])
+            yield pa.RecordBatch.from_arrays([pa.array(cls[a:b][same]), pa.array([sets[i].view(np.int64) for i in same], pa.list_(pa.int64()))], names=["cls", "grams"])
 
-    found = cut(map_arrow(rows, run, "cls long, grams array<long>, sketch binary"))
-    # Repeated rows give the same set again; only then are sets moved to drop them.
-    repeated = found.groupBy("cls").count().where(F.col("count") > 1)
-    return found if repeated.isEmpty() else cut(found.dropDuplicates(["cls"]))
+    every = docs.select(docs[doc_id].cast("long").alias("_id"), docs[text].alias("_text"))
+    parts = []
+    for side in _slices(wanted, "cls"):
+        rows = every.join(side.select(F.col("doc_id").alias("_id"), F.col("cls").alias("_cls")), "_id").select("_cls", "_text")
+        found = cut(map_arrow(rows, run, "cls long, grams array<long>"))
+        if not found.groupBy("cls").count().where(F.col("count") > 1).isEmpty():
+            once = cut(found.dropDuplicates(["cls"]))
+            release(found)
+            found = once
+        parts.append(found)
+    return parts
 
 
 def sketch(grams: np.ndarray) -> bytes:
@@ -330,7 +364,14 @@ def near(asked: list[bytes], block: list[bytes], asked_sizes: np.ndarray, block_
     return i[~fine], j[~fine]
 
 
-def _search(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+class Sets(NamedTuple):
+    """The sketches (cls, n, sketch) of all classes that share a key, and how to get the shingles of some."""
+
+    sketches: DataFrame
+    grams: Callable[[DataFrame], list[DataFrame]]
+
+
+def _search(units: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Links (a > b) between the queries (role 0) and the index (role 1) of each unit."""
     def compare(asked: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         i, j = near(asked["sketch"].tolist(), block["sketch"].tolist(), asked["n"].to_numpy(np.int64), block["n"].to_numpy(np.int64), percent)
@@ -345,18 +386,27 @@ def _search(units: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         other, me = other[other != me], me[other != me]
         return np.maximum(other, me), np.minimum(other, me)
 
-    pairs = cut(_by_unit(units, sets.select("cls", "sketch", F.size("grams").alias("n")), compare, "center", "cls", GROUP).distinct())
-    return _by_unit(_shared_units(pairs), sets.select("cls", "grams"), search, "a", "b", SEARCHED).distinct()
+    pairs = _by_unit(units, sets.sketches, F.octet_length("sketch"), compare, "center", "cls", GROUP)
+    named = pairs.select(F.explode(F.array("center", "cls")).alias("cls")).distinct()
+    parts = sets.grams(named)
+    if not parts:
+        return pairs.select(F.col("center").alias("a"), F.col("cls").alias("b"))
+    links = _by_unit(_shared_units(pairs), reduce(DataFrame.unionByName, parts), 8 * F.size("grams"), search, "a", "b", SEARCHED)
+    release(pairs, *parts)
+    return links
 
 
-def _by_unit(units: DataFrame, data: DataFrame, fn: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], a: str, b: str, rows: int) -> DataFrame:
-    """fn of the queries and the index of each unit; several units of together about so many rows are handed over at once."""
+def _by_unit(units: DataFrame, data: DataFrame, size: Column, fn: Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]], a: str, b: str, rows: int) -> DataFrame:
+    """fn of the queries and the index of each unit, distinct and cut; several units of together about so many rows are handed over at once, and as many in a round as the bytes of their data (size a row) allow."""
     units = cut(units)
-    groups = max(1, -(-units.count() // rows))
-    needed = units.select("cls").distinct()
-    if needed.count() <= BROADCAST_ROWS:
-        # Only what the units ask for is shuffled.
-        data = data.join(F.broadcast(needed), "cls", "left_semi")
+    needed = cut(units.groupBy("cls").count())
+    few = needed.count() <= BROADCAST_ROWS
+    # Only what the units ask for is shuffled.
+    data = data.join(F.broadcast(needed.select("cls")) if few else needed.select("cls"), "cls", "left_semi")
+    held = data.agg(F.coalesce(F.sum(size.cast("long")), F.lit(0)).alias("all"), F.count(F.lit(1)).alias("n")).first()
+    count = units.count()
+    rounds = max(1, -(-count * held["all"] // max(1, held["n"]) // max(ROUND, held["all"])))
+    groups = max(1, -(-count // (rows * rounds)))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(["unit", "role"], kind="stable", ignore_index=True)
@@ -369,7 +419,17 @@ def _by_unit(units: DataFrame, data: DataFrame, fn: Callable[[pd.DataFrame, pd.D
                 out.append(fn(rows.iloc[start:split], rows.iloc[split:stop]))
         return pd.DataFrame({a: np.concatenate([x for x, _ in out]), b: np.concatenate([y for _, y in out])})
 
-    return units.join(data, "cls").groupBy(F.pmod("unit", F.lit(groups))).applyInPandas(run, f"{a} long, {b} long")
+    def made(part: DataFrame) -> DataFrame:
+        return cut(part.join(data, "cls").groupBy(F.pmod("unit", F.lit(groups))).applyInPandas(run, f"{a} long, {b} long").distinct())
+
+    if rounds == 1:
+        found = made(units)
+    else:
+        parts = [made(units.where(F.pmod(F.xxhash64("unit", F.lit(11)), F.lit(rounds)) == k)) for k in range(rounds)]
+        found = cut(reduce(DataFrame.unionByName, parts).distinct())
+        release(*parts)
+    release(units, needed)
+    return found
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -403,13 +463,21 @@ def _unit(*columns: str | Column) -> Column:
 def link_classes(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """(node, root) of the classes that link with another class."""
     members = _members(_routes(docs, text, words, percent))
-    classes = rows.where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
+    classes = rows.select("doc_id", "cls").where(F.col("cls").isNotNull() & F.col("doc_id").isNotNull()).groupBy("cls").agg(F.min("doc_id").alias("doc_id"))
     wanted = cut(classes.join(members.select("cls").distinct(), "cls", "left_semi"))
-    sets = _sets(docs, wanted, doc_id, text, words)
+    sketches = _sketches(rows, wanted)
+
+    def grams(classes: DataFrame) -> list[DataFrame]:
+        some = cut(wanted.join(classes, "cls", "left_semi"))
+        parts = _grams(docs, some, doc_id, text, words)
+        release(some)
+        return parts
+
+    sets = Sets(sketches, grams)
 
     def found(units: DataFrame, before: DataFrame | None = None) -> DataFrame:
         more = _search(units, sets, percent)
-        return cut(more if before is None else before.unionByName(more).distinct())
+        return more if before is None else cut(before.unionByName(more).distinct())
 
     # Each class against the first class that it shares a key with.
     nearest = cut(members.groupBy("cls").agg(F.min("lo").alias("center")).where(F.col("center") < F.col("cls")))
@@ -423,6 +491,7 @@ def link_classes(docs: DataFrame, rows: DataFrame, doc_id: str = "doc_id", text:
         left = _unresolved(members, cut(components(links)), every)
         if not left.isEmpty():
             links = found(_more_units(left, every), links)
+    release(members, sketches)
     return components(links)
 
 
@@ -521,8 +590,9 @@ def keep_first(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", word
     beyond = _with(found, first, "root").where(F.struct("doc_id", "mark") != F.col("first"))
     d, m = free_name(docs, "_doc"), free_name(docs, "_mark")
     gone = cut(beyond.select(F.col("doc_id").alias(d), F.col("mark").alias(m)))
-    side = F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone
-    kept = docs.join(side, (docs[doc_id].cast("long") == F.col(d)) & (F.xxhash64(docs[text]) == F.col(m)), "left_anti")
+    kept = docs
+    for side in _slices(gone, d, m):
+        kept = kept.join(side, (docs[doc_id].cast("long") == F.col(d)) & (F.xxhash64(docs[text]) == F.col(m)), "left_anti")
     twice = docs.where(docs[doc_id].isNotNull()).groupBy(docs[doc_id], F.xxhash64(docs[text])).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
     if twice.isEmpty():
         return kept

@@ -7,9 +7,11 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from sluice import session
 from sluice.llm import induced_sort, license_scan, mixing, ngram_join, quality_gbt, quality_rules, secret_scan, suffix_dedup, url_reputation, va_topk
 from sluice.llm.common import sample_texts
 
@@ -663,6 +665,54 @@ def test_shared_units_link_no_class_with_itself(spark, monkeypatch):
     assert all(found.where("a <= b").isEmpty() for found in links)
 
 
+def test_ngram_join_in_rounds_leaves_no_sets_on_disk(spark, tmp_path, monkeypatch):
+    # Rounds and slices of a few rows each; the shared folder ends without shingles, sketches' copies or routes.
+    monkeypatch.setattr(ngram_join, "ROUND", 1)
+    monkeypatch.setattr(ngram_join, "BROADCAST_ROWS", 15)
+    monkeypatch.setattr(ngram_join, "BLOCK", 8)
+    texts = []
+    for k in range(4):
+        chain = words(80, 500 + k).split()
+        for i in range(10):
+            chain = list(chain)
+            chain[(7 * i) % 80] = f"d{k}_{i}"
+            texts.append(" ".join(chain))
+    rounds = []
+    real = ngram_join.cut
+
+    def cut(df):
+        rounds.append(df.columns)
+        return real(df)
+
+    monkeypatch.setattr(ngram_join, "cut", cut)
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    docs = table(spark, [*texts, *texts[:5]])
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in ngram_join.join(docs).collect()}
+    kept = sorted(r["doc_id"] for r in ngram_join.keep_first(docs).collect())
+    plain = plain_components([*texts, *texts[:5]])
+    assert got == plain and kept == sorted({c for _, c in plain.values()})
+    assert rounds.count(["a", "b"]) > 20 and ["cls", "grams"] in rounds
+    left = [spark.read.parquet(str(f)).columns for f in tmp_path.iterdir()]
+    assert left and not any({"grams", "lo", "unit"} & set(c) or c == ["cls", "n", "sketch"] for c in left)
+
+
+def test_a_written_stage_uses_small_batches_and_its_files_can_go(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(session, "shared_dir", lambda spark: str(tmp_path))
+    keys = ("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "spark.sql.execution.arrow.maxBytesPerBatch")
+    before = [spark.conf.get(k) for k in keys]
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    rows = spark.range(4000).select(F.repeat(F.lit("x"), 20_000).alias("t")).coalesce(1)
+    out = session.cut(rows.mapInArrow(sizes, "n long"))
+    assert sum(r["n"] for r in out.collect()) > 80_000_000 and max(r["n"] for r in out.collect()) < 1.5 * session.ARROW_BYTES
+    assert [spark.conf.get(k) for k in keys] == before
+    session.release(out)
+    assert not list(tmp_path.glob("cut-*"))
+
+
 def test_divide_skip_equals_counting():
     rng = np.random.default_rng(2)
     base = np.arange(200, dtype=np.uint64)
