@@ -22,14 +22,25 @@ def bibliography_key(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(bare), r"(?U)[^\w]+", " "))
 
 
-@F.pandas_udf(T.DoubleType())
-def _matching_share(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def _share_from(x: str | None, y: str | None, least: float) -> float | None:
+    """The matching share, None below the least: the letters in common, however ordered, bound it first."""
+    if x is None or y is None:
+        return None
+    match = SequenceMatcher(None, x, y)
+    if least > 0 and (match.real_quick_ratio() < least or match.quick_ratio() < least):
+        return None
+    share = match.ratio()
+    return share if share >= least else None
 
 
-def matching_share(a: Column, b: Column) -> Column:
-    """Twice the length of the matching blocks of two texts over the length of both (Ratcliff-Obershelp); equal texts stay in the JVM."""
-    return F.when(a == b, F.lit(1.0)).otherwise(_matching_share(a, b))
+def matching_share(a: Column, b: Column, least: float = 0.0) -> Column:
+    """Twice the length of the matching blocks of two texts over the length of both (Ratcliff-Obershelp), null below the least; equal texts stay in the JVM."""
+
+    @F.pandas_udf(T.DoubleType())
+    def share(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([_share_from(p, q, least) for p, q in zip(x, y, strict=True)], dtype="float64")
+
+    return F.when(a == b, F.lit(1.0)).otherwise(share(a, b))
 
 
 def title_similarity(a: Column, b: Column) -> Column:

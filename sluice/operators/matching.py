@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sluice.functions import text
 from sluice.functions.identifiers import canonical_doi, canonical_identifier, extract_doi
@@ -22,37 +23,48 @@ def match_references(references: DataFrame, works: DataFrame, threshold: float =
     reference's title that any work has, or by the first letters where it has none, so titles
     meet only where they share a word; a share of the threshold leaves room for a few changed
     letters, not for six words.
+
+    Only distinct titles and years meet, so repeated ones cost nothing but their rows.
     """
     key = lambda c: text.bibliography_key(c)
     refs = references.select(
         "reference_id",
         F.coalesce(canonical_doi(F.col("doi")), extract_doi(F.col("raw"))).alias("doi"),
         key(F.coalesce(F.col("title"), F.col("raw"))).alias("title"),
-        F.col("year").cast("string").alias("year"),
+        F.coalesce(F.col("year").cast("string"), F.lit("")).alias("year"),
         F.sha2(F.coalesce("raw", F.lit("")), 256).alias("raw_hash"),
     )
     known = works.select("candidate_id", canonical_doi(F.col("doi")).alias("doi"), key(F.col("title")).alias("title"), F.col("year").cast("string").alias("year"))
     by_doi = known.where(F.col("doi").isNotNull()).groupBy("doi").agg(F.min("candidate_id").alias("by_doi"))
     joined = refs.join(by_doi, "doi", "left")
-    open_ = joined.where(F.col("by_doi").isNull() & (F.col("title") != "")).select("reference_id", "title", "year")
+    # References of one title and year are alike in all that follows, and so are works; of a class of works only the two last ids can matter.
+    open_ = joined.where(F.col("by_doi").isNull() & (F.col("title") != "")).select("title", "year").distinct()
+    titled = known.where(F.col("title") != "").select("candidate_id", F.col("title").alias("other"), F.col("year").alias("other_year"))
+    same = F.col("other").eqNullSafe(F.col("_o")) & F.col("other_year").eqNullSafe(F.col("_y"))
+    last = titled.groupBy("other", "other_year").agg(F.count(F.lit(1)).alias("rows"), F.max("candidate_id").alias("l1"), F.max(F.col("candidate_id").isNull()).alias("unnamed"))
+    before = titled.join(last.select(F.col("other").alias("_o"), F.col("other_year").alias("_y"), "l1"), same).where(F.col("candidate_id") < F.col("l1")).groupBy("_o", "_y").agg(F.max("candidate_id").alias("l2"))
+    ids = F.concat(F.array_compact(F.array("l1", "l2")), F.when(F.col("unnamed"), F.array(F.lit(None).cast(works.schema["candidate_id"].dataType))).otherwise(F.array().cast(T.ArrayType(works.schema["candidate_id"].dataType))))
+    classes = last.join(before, same, "left").select("other", "other_year", "rows", F.slice(ids, 1, 2).alias("ids"))
 
     def tokens(title: Column) -> Column:
         long = F.array_distinct(F.filter(F.split(title, " "), lambda w: F.length(w) >= WORD))
         return F.when(F.size(long) > 0, long).otherwise(F.array(F.concat(F.lit("^"), F.substring(title, 1, WORD))))
 
-    listed = known.where(F.col("title") != "").select("candidate_id", F.col("title").alias("other"), F.col("year").alias("other_year"), F.explode(tokens(F.col("title"))).alias("token"))
-    frequency = listed.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    listed = classes.withColumn("token", F.explode(tokens(F.col("other"))))
+    frequency = listed.groupBy("token").agg(F.sum("rows").alias("n"))
     asked = open_.select("*", F.explode(tokens(F.col("title"))).alias("token")).join(frequency, "token")
-    rare = asked.withColumn("r", F.row_number().over(Window.partitionBy("reference_id").orderBy("n", "token"))).where(F.col("r") <= RAREST).drop("r", "n")
-    same_year = F.col("year").isNull() | (F.col("year") == "") | F.col("other_year").isNull() | (F.col("year") == F.col("other_year"))
+    rare = asked.withColumn("r", F.row_number().over(Window.partitionBy("title", "year").orderBy("n", "token"))).where(F.col("r") <= RAREST).drop("r", "n")
+    same_year = (F.col("year") == "") | F.col("other_year").isNull() | (F.col("year") == F.col("other_year"))
     # No pair of lengths so different reaches the threshold less the margin.
     least = threshold - margin
     lengths = 2 * F.least(F.length("title"), F.length("other")) >= least * (F.length("title") + F.length("other"))
-    pairs = rare.join(listed, "token").where(same_year & lengths).select("reference_id", "title", "candidate_id", "other").distinct()
-    scored = pairs.withColumn("share", text.matching_share(F.col("title"), F.col("other")))
-    ranked = scored.withColumn("r", F.row_number().over(Window.partitionBy("reference_id").orderBy(F.desc("share"), F.desc("candidate_id")))).where(F.col("r") <= 2)
-    best = ranked.groupBy("reference_id").agg(F.max_by("candidate_id", "share").alias("_"), F.max(F.when(F.col("r") == 1, F.col("share"))).alias("s1"), F.max(F.when(F.col("r") == 1, F.col("candidate_id"))).alias("c1"), F.max(F.when(F.col("r") == 2, F.col("share"))).alias("s2")).drop("_")
-    out = joined.join(best, "reference_id", "left")
+    pairs = rare.join(listed, "token").where(same_year & lengths).select("title", "year", "other", "ids").distinct()
+    # Shares below the least decide nothing; the rounding of their difference is left room.
+    scored = pairs.withColumn("share", text.matching_share(F.col("title"), F.col("other"), least - 1e-9)).where(F.col("share").isNotNull())
+    named = scored.select("title", "year", "other", "share", F.explode("ids").alias("candidate_id")).distinct()
+    ranked = named.withColumn("r", F.row_number().over(Window.partitionBy("title", "year").orderBy(F.desc("share"), F.desc("candidate_id")))).where(F.col("r") <= 2)
+    best = ranked.groupBy("title", "year").agg(F.max(F.when(F.col("r") == 1, F.col("share"))).alias("s1"), F.max(F.when(F.col("r") == 1, F.col("candidate_id"))).alias("c1"), F.max(F.when(F.col("r") == 2, F.col("share"))).alias("s2"))
+    out = joined.join(best, ["title", "year"], "left")
     enough = F.col("s1") >= threshold
     ambiguous = F.coalesce(F.col("s1") - F.col("s2") < margin, F.lit(False))
     found = enough & ~ambiguous

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sluice.functions import text
 from sluice.operators import atlas, matching, views
 from tests.test_whole import QUERIES
 
@@ -37,6 +38,27 @@ def test_reference_matching_equals_a_plain_version(spark, tmp_path):
         assert r["candidate_id"] == want, (title, scored[:2])
 
 
+def test_repeated_titles_meet_once(spark, monkeypatch):
+    # 4000 references of six titles to works that repeat them: pairs of rows would be millions, pairs of titles are few.
+    names = ["small ring economy", "large ring economy", "small bolts promotional", "warm gear standards", "old plate of medium size", "hot widget of large size"]
+    works = spark.range(4000).select(F.concat(F.lit("w"), F.lpad(F.col("id").cast("string"), 5, "0")).alias("candidate_id"), F.lit(None).cast("string").alias("doi"), F.element_at(F.array(*map(F.lit, names)), (F.col("id") % 5 + 1).cast("int")).alias("title"), (F.lit(2000) + F.col("id") % 2).alias("year"))
+    works = works.unionByName(spark.createDataFrame([("single", None, names[5], None), (None, None, "title of no candidate", 2000), ("v1", None, "one title in two years", 2000), ("v1", None, "one title in two years", 2001)], "candidate_id string, doi string, title string, year long"))
+    refs = spark.range(4000).select(F.col("id").alias("reference_id"), F.lit(None).cast("string").alias("doi"), F.lit("r").alias("raw"), F.element_at(F.array(*map(F.lit, [n[:-1] for n in names])), (F.col("id") % 6 + 1).cast("int")).alias("title"), (F.lit(2000) + F.col("id") % 2).alias("year"))
+    refs = refs.unionByName(spark.createDataFrame([(9001, None, "r", "one title in two years", None), (9002, None, "r", "title of no candidate", 2000)], "reference_id long, doi string, raw string, title string, year long"))
+    seen = spark.sparkContext.accumulator(0)
+    real = text.matching_share
+
+    def share(a, b, least=0.0):
+        count = F.udf(lambda x: seen.add(1) or x)
+        return real(count(a), b, least)
+
+    monkeypatch.setattr(text, "matching_share", share)
+    got = {r["reference_id"]: (r["candidate_id"], r["method"]) for r in matching.match_references(refs, works).collect()}
+    assert 0 < seen.value < 500
+    assert all(got[i] == (("single", "bibliographic_title_year") if i % 6 == 5 else (None, "ambiguous_bibliographic_hash")) for i in range(4000))
+    assert got[9001] == ("v1", "bibliographic_title_year") and got[9002] == (None, "bibliographic_title_year")
+
+
 def test_linkage_learns_declared_pairs(spark):
     rng = np.random.default_rng(1)
     rows = [(i, bool(i % 3 == 0), *(float(x) for x in rng.normal((1.0 if i % 3 == 0 else 0.0), 0.6, 3)), bool(rng.integers(2)), False, float(rng.random())) for i in range(300)]
