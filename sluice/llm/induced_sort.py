@@ -430,19 +430,28 @@ def suffix_array(text: np.ndarray, scratch: Scratch | None = None) -> np.ndarray
 
 
 def _compared(text: np.ndarray, a: np.ndarray, b: np.ndarray, cap: int) -> np.ndarray:
-    """Common prefixes of pairs of suffixes, by comparison, up to cap."""
+    """Common prefixes of pairs of different suffixes, by comparison of words of several characters, up to cap."""
     n, out = len(text), np.zeros(len(a), np.int64)
-    alive = np.arange(len(a))
-    for k in range(cap):
-        x, y = a[alive] + k, b[alive] + k
-        inside = (x < n) & (y < n)
-        same = np.zeros(len(alive), bool)
-        same[inside] = text[x[inside]] == text[y[inside]]
-        alive = alive[same]
+    bits = max(1, int(text.max(initial=0)).bit_length())
+    per = 63 // bits
+    padded = np.append(text.astype(np.int64), np.zeros(per, np.int64))
+    word = np.zeros(n, np.int64)
+    for k in range(per):
+        word |= padded[k : k + n] << (bits * k)
+    # What the longer suffix has beyond the other's end, where words are padded, does not count.
+    most = np.minimum(n - np.maximum(a, b).astype(np.int64), cap)
+    alive = np.flatnonzero(most > 0)
+    for k in range(0, cap, per):
+        differ = word[a[alive] + k] ^ word[b[alive] + k]
+        apart = np.flatnonzero(differ)
+        lowest = differ[apart] & -differ[apart]
+        out[alive[apart]] = k + (np.frexp(lowest.astype(np.float64))[1] - 1) // bits
+        alive = alive[differ == 0]
+        out[alive] = k + per
+        alive = alive[most[alive] > k + per]
         if not len(alive):
             break
-        out[alive] += 1
-    return out
+    return np.minimum(out, most)
 
 
 def suffix_and_lcp(text: np.ndarray, cap: int, scratch: Scratch | None = None) -> tuple[np.ndarray, np.ndarray]:

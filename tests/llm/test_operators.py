@@ -121,6 +121,28 @@ def test_induced_sort_spills_and_carries_prefixes(monkeypatch, tmp_path):
 # 2: mixing
 
 
+def test_prefixes_are_compared_by_words():
+    rng = np.random.default_rng(5)
+    for top, cap in ((1, 200), (3, 7), (257, 200), (1 << 20, 50)):
+        text = np.tile(rng.integers(0, top + 1, 300), 3)
+        text[rng.integers(0, 900, 3)] = top
+        a, b = rng.integers(0, 900, (2, 400))
+        a, b = a[a != b], b[a != b]
+        plain = [next((k for k in range(cap) if max(x, y) + k >= 900 or text[x + k] != text[y + k]), cap) for x, y in zip(a.tolist(), b.tolist(), strict=True)]
+        assert induced_sort._compared(text, a, b, cap).tolist() == plain
+    # A comparison reads words, not characters: the rounds are few however long the prefixes are.
+    reads = []
+
+    class Counted(np.ndarray):
+        def __getitem__(self, at):
+            reads.append(at)
+            return super().__getitem__(at)
+
+    long = np.zeros(1000, np.int64)
+    x = np.arange(100).view(Counted)
+    assert (induced_sort._compared(long + 257, x, np.arange(100) + 200, 200) == 200).all() and len(reads) < 100
+
+
 def test_mix_targets_and_copies(spark):
     texts = [words(20 + i % 37, i) for i in range(600)] + ["", None]
     sources = [("big", "mid", "small", None)[min(i % 7, 3)] for i in range(602)]
