@@ -48,12 +48,15 @@ class Lake:
 
     def history(self, table: str, source: str | None = None, run: str | None = None) -> DataFrame:
         """All rows of the runs that are not removed; a source or run reads only its folders."""
-        df = self.spark.read.option("mergeSchema", "true").option("basePath", self.path(table)).parquet(self.path(table))
-        for column, value in (("source_id", source), ("run", run)):
+        there = self.manifest().where((F.col("table") == table) & ~F.col("removed")).select("source", "run").distinct()
+        for column, value in (("source", source), ("run", run)):
             if value is not None:
-                df = df.where(F.col(column) == value)
-        there = self.manifest().where((F.col("table") == table) & ~F.col("removed")).select(F.col("source").alias("source_id"), "run").distinct()
-        df = df.join(F.broadcast(there) if there.count() <= 100_000 else there, ["source_id", "run"], "left_semi")
+                there = there.where(F.col(column) == value)
+        # Only folders that the manifest names are opened: what else lies there may have columns of other types.
+        folders = sorted(f"{self.path(table)}/source_id={r['source']}/run={r['run']}" for r in there.toLocalIterator())
+        if not folders:
+            return self.spark.createDataFrame([], schema.spark_schema(table))
+        df = self.spark.read.option("mergeSchema", "true").option("basePath", self.path(table)).parquet(*folders)
         order = [n for n, _, _ in schema.fields(table) if n in df.columns]
         return df.select(*order)
 
