@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -49,15 +50,25 @@ def map_arrow(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBa
 
 def chunks(texts: list[str | None], limit: int = CHUNK) -> Iterator[tuple[int, int]]:
     """Ranges of rows that hold about `limit` characters each; a longer text is a chunk of its own."""
-    start, size = 0, 0
-    for i, text in enumerate(texts):
-        n = len(text) if text else 0
+    return _ranges((len(text) if text else 0 for text in texts), limit)
+
+
+def _ranges(sizes: Iterable[int], limit: int) -> Iterator[tuple[int, int]]:
+    start, size, end = 0, 0, 0
+    for i, n in enumerate(sizes):
         if i > start and size + n > limit:
             yield start, i
             start, size = i, 0
         size += n
-    if start < len(texts):
-        yield start, len(texts)
+        end = i + 1
+    if start < end:
+        yield start, end
+
+
+def slices(batch: pa.RecordBatch, at: int, limit: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """All rows of a batch, in slices whose texts (column `at`) hold about `limit` bytes each; nothing is copied, so a batch's texts need never be Python strings all at once."""
+    for a, b in _ranges(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_pylist(), limit):
+        yield batch.slice(a, b - a)
 
 
 def sample_texts(docs: DataFrame, text: str, rows: int, size: int) -> list[str]:

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sluice.llm.common import map_arrow, sample_texts
+from sluice.llm.common import map_arrow, sample_texts, slices
 
 #: Patterns and least lengths: fixed by the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -221,8 +221,9 @@ def redact(docs: DataFrame, model: Markov | None = None, text: str = "text") ->
         return "".join([*out, t[done:]])
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        columns = list(batch.columns)
-        columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
-        yield pa.RecordBatch.from_arrays(columns, names=names)
+        for part in slices(batch, at):
+            columns = list(part.columns)
+            columns[at] = pa.array([clean(t) for t in columns[at].to_pylist()], pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=names)
 
     return map_arrow(docs, run, docs.schema)

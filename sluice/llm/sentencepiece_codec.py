@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sluice.llm.common import chunks, free_name, map_arrow
+from sluice.llm.common import chunks, free_name, map_arrow, slices
 
 #: Threads that encode one batch.
 THREADS = 2
@@ -42,6 +42,8 @@ THREADS = 2
 PARITY_EVERY = 64
 #: Distinct words whose pieces a process remembers; beyond them it starts anew.
 CACHED_WORDS = 300_000
+#: Words, and characters of whole texts, that are encoded at once: until it is read, a word's result takes about a kilobyte.
+WORDS_AT_ONCE, CHARS_AT_ONCE = 4096, 250_000
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
@@ -191,10 +193,15 @@ class Codec:
         fresh = list(itertools.islice(self.number, len(self.back), None))
         if not fresh:
             return
-        coded = [e.ids for e in self.words.encode_batch_fast([MARK + w for w in fresh], add_special_tokens=False)]
-        self.back += self.decode(coded)
-        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum([len(x) for x in coded])])
-        self.flat = np.concatenate([self.flat, np.fromiter(itertools.chain.from_iterable(coded), np.int32)])
+        flat, sizes = [self.flat], []
+        for i in range(0, len(fresh), WORDS_AT_ONCE):
+            words = fresh[i : i + WORDS_AT_ONCE]
+            coded = [e.ids for e in self.words.encode_batch_fast([MARK + w for w in words], add_special_tokens=False)]
+            self.back += [w if w == back else back for w, back in zip(words, self.decode(coded), strict=True)]  # one string, not two equal ones
+            sizes += [len(x) for x in coded]
+            flat.append(np.fromiter(itertools.chain.from_iterable(coded), np.int32))
+        self.at = np.concatenate([self.at, self.at[-1] + np.cumsum(sizes)])
+        self.flat = np.concatenate(flat)
 
     def _batch(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -222,9 +229,10 @@ class Codec:
             ends = np.cumsum(size)
             ids[i] = flat[np.repeat(at[n] - ends + size, size) + np.arange(ends[-1])]
             decoded[i] = " ".join([back[k] for k in n.tolist()])
-        for i, x in zip(whole, self._batch([texts[i] for i in whole]), strict=True):
-            ids[i] = np.array(x, np.int32)
-            decoded[i] = self.decode([x])[0]
+        for a, b in chunks([texts[i] for i in whole], CHARS_AT_ONCE):
+            for i, x in zip(whole[a:b], self._batch([texts[i] for i in whole[a:b]]), strict=True):
+                ids[i] = np.array(x, np.int32)
+                decoded[i] = self.decode([x])[0]
         return ids, decoded
 
     def decode(self, ids: list[list[int]]) -> list[str]:
@@ -268,15 +276,14 @@ def encode(docs: DataFrame, model: bytes, text: str = "text", ids: str = "piece_
 
     def coded(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         own = codec(model)
-        every = [t or "" for t in batch.column(at).to_pylist()]
-        for a, b in chunks(every, 2_000_000):
-            texts = every[a:b]
+        for part in slices(batch, at):
+            texts = [t or "" for t in part.column(at).to_pylist()]
             pieces, back = own.encode(texts)
             probe = [i for i, t in enumerate(texts) if zlib.crc32(t.encode("utf-8", "surrogatepass")) % PARITY_EVERY == 0]
             own.verify([texts[i] for i in probe], [pieces[i] for i in probe], [back[i] for i in probe])
             offsets = pa.array(np.concatenate([[0], np.cumsum([len(x) for x in pieces])]), pa.int32())
             lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(pieces), pa.int32()))
-            yield pa.RecordBatch.from_arrays([*batch.slice(a, b - a).columns, lists, pa.array(back, pa.string())], names=names)
+            yield pa.RecordBatch.from_arrays([*part.columns, lists, pa.array(back, pa.string())], names=names)
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         # Millions of small objects and no cycles; the worker's setting returns with the batch.
