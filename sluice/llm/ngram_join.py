@@ -12,7 +12,8 @@ A document's set holds the distinct `WORDS`-word shingles of its whole, A-Z lowe
    and passages do not bring documents together, as whole parts must be equal.
 3. Candidates are compared by histograms of their shingles' hashes first: two histograms differ
    in no more places than the sets do, so a pair beyond the bound is no link, at a sixteenth of
-   the bytes moved.
+   the bytes moved. Before that, by packed histograms of half a byte a bin and about eight
+   shingles a bin, which make most pairs' histograms of full size needless to move.
    T-occurrence search (DivideSkip) then runs in units of bounded size, each with the sets of
    many candidates and their many queries: one inverted index a unit, asked by every query of
    the unit; the query's longest lists are set aside, the short ones heap-merged, and what
@@ -75,6 +76,8 @@ GROUP, SEARCHED = 4000, 500
 ROUND = 256 << 20
 #: Bins of a set's histogram, and of the finer one of sets with more shingles than LONG.
 BINS, FINE, LONG = 256, 2048, 1000
+#: Bins of a packed histogram at least and at most, and shingles a bin up to which it has the least.
+PACKED, MOST_PACKED, A_BIN = 64, 1024, 8
 _STEP = np.uint64(0x100000001B3)
 
 
@@ -206,18 +209,18 @@ class Index:
 
 
 def _documents(docs: DataFrame, doc_id: str, text: str, words: int) -> DataFrame:
-    """(doc_id, mark, n_shingles, cls, sketch) of every row; mark is a hash of the text, cls is null without shingles."""
+    """(doc_id, mark, n_shingles, cls, sketch, packed) of every row; mark is a hash of the text, cls is null without shingles."""
 
     def run(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         every = batch.column(2).to_pylist()
         for a, b in chunks(every):
             sets = shingle_sets(every[a:b], words)
             n = np.array([len(s) for s in sets], np.int64)
-            columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(class_ids(sets), mask=n == 0), pa.array([sketch(s) for s in sets], pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "cls", "sketch"])
+            columns = [batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(class_ids(sets), mask=n == 0), pa.array([sketch(s) for s in sets], pa.binary()), pa.array([packed(s) for s in sets], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "mark", "n_shingles", "cls", "sketch", "packed"])
 
     rows = docs.select(docs[doc_id].cast("long").alias("doc_id"), F.xxhash64(docs[text]).alias("mark"), docs[text].alias("text"))
-    return map_arrow(rows, run, "doc_id long, mark long, n_shingles long, cls long, sketch binary")
+    return map_arrow(rows, run, "doc_id long, mark long, n_shingles long, cls long, sketch binary, packed binary")
 
 
 def _salts(key: np.ndarray, cls: np.ndarray, seen: np.ndarray, hot: int) -> np.ndarray:
@@ -301,9 +304,9 @@ def _slices(rows: DataFrame, *by: str) -> Iterator[DataFrame]:
 
 
 def _sketches(rows: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(cls, n, sketch) of the wanted (doc_id, cls), once each."""
+    """(cls, n, sketch, packed) of the wanted (doc_id, cls), once each."""
     side = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
-    found = cut(rows.join(side, ["doc_id", "cls"]).select("cls", F.col("n_shingles").alias("n"), "sketch"))
+    found = cut(rows.join(side, ["doc_id", "cls"]).select("cls", F.col("n_shingles").alias("n"), "sketch", "packed"))
     # Repeated rows give the same set again; only then are sketches moved to drop them.
     if found.groupBy("cls").count().where(F.col("count") > 1).isEmpty():
         return found
@@ -348,7 +351,7 @@ def near(asked: list[bytes], block: list[bytes], asked_sizes: np.ndarray, block_
     def folded(sketches: list[bytes]) -> np.ndarray:
         if len(joined := b"".join(sketches)) == BINS * len(sketches):
             return np.frombuffer(joined, np.uint8).reshape(-1, BINS).astype(np.int32)
-        return np.stack([np.frombuffer(x, np.uint8).reshape(-1, BINS).sum(0, dtype=np.int32) for x in sketches])
+        return np.stack([np.minimum(np.frombuffer(x, np.uint8).reshape(-1, BINS).sum(0, dtype=np.int32), 255) for x in sketches])
 
     q, x = folded(asked), folded(block)
     both = asked_sizes[:, None] + block_sizes[None, :]
@@ -364,8 +367,44 @@ def near(asked: list[bytes], block: list[bytes], asked_sizes: np.ndarray, block_
     return i[~fine], j[~fine]
 
 
+def packed(grams: np.ndarray) -> bytes:
+    """Shingles in each bin, up to 15, two bins a byte; the bins double with the set until at most A_BIN shingles fall to one, up to MOST_PACKED bins."""
+    bins = PACKED
+    while len(grams) > A_BIN * bins and bins < MOST_PACKED:
+        bins *= 2
+    count = np.minimum(np.bincount((grams % np.uint64(bins)).astype(np.int64), minlength=bins), 15).astype(np.uint8)
+    return (count[::2] | count[1::2] << 4).tobytes()
+
+
+def near_packed(asked: list[bytes], block: list[bytes], asked_sizes: np.ndarray, block_sizes: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of positions whose sets may link by their sizes and packed histograms; of two with unlike numbers of bins the larger is folded."""
+
+    def by_length(packs: list[bytes]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+        length = np.array([len(p) for p in packs])
+        out = {}
+        for n in np.unique(length).tolist():
+            at = np.flatnonzero(length == n)
+            pairs = np.frombuffer(b"".join([packs[i] for i in at.tolist()]), np.uint8).reshape(-1, n)
+            out[2 * n] = at, np.stack([pairs & 15, pairs >> 4], 2).reshape(-1, 2 * n).astype(np.int16)
+        return out
+
+    both = asked_sizes[:, None] + block_sizes[None, :]
+    ok = (100 * np.minimum(asked_sizes[:, None], block_sizes) >= percent * np.maximum(asked_sizes[:, None], block_sizes)).astype(bool)
+    own, other = by_length(asked), by_length(block)
+    for n, (rows, q) in own.items():
+        for m, (columns, x) in other.items():
+            bins = min(n, m)
+            # What is folded is bounded again, as the counts that it meets are.
+            q_bins, x_bins = (np.minimum(y.reshape(len(y), -1, bins).sum(1), 15) for y in (q, x))
+            for i, mine in zip(rows.tolist(), q_bins, strict=True):
+                fits = np.flatnonzero(ok[i, columns])
+                at = columns[fits]
+                ok[i, at] = (100 + percent) * np.abs(x_bins[fits] - mine).sum(1) <= (100 - percent) * both[i, at]
+    return np.nonzero(ok)
+
+
 class Sets(NamedTuple):
-    """The sketches (cls, n, sketch) of all classes that share a key, and how to get the shingles of some."""
+    """The sketches (cls, n, sketch, packed) of all classes that share a key, and how to get the shingles of some."""
 
     sketches: DataFrame
     grams: Callable[[DataFrame], list[DataFrame]]
@@ -373,10 +412,14 @@ class Sets(NamedTuple):
 
 def _search(units: DataFrame, sets: Sets, percent: int) -> DataFrame:
     """Links (a > b) between the queries (role 0) and the index (role 1) of each unit."""
-    def compare(asked: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        i, j = near(asked["sketch"].tolist(), block["sketch"].tolist(), asked["n"].to_numpy(np.int64), block["n"].to_numpy(np.int64), percent)
-        center, cls = asked["cls"].to_numpy()[i], block["cls"].to_numpy()[j]
-        return center[center != cls], cls[center != cls]
+
+    def by(column: str, test: Callable[..., tuple[np.ndarray, np.ndarray]]) -> Callable[[pd.DataFrame, pd.DataFrame], tuple[np.ndarray, np.ndarray]]:
+        def compare(asked: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
+            i, j = test(asked[column].tolist(), block[column].tolist(), asked["n"].to_numpy(np.int64), block["n"].to_numpy(np.int64), percent)
+            center, cls = asked["cls"].to_numpy()[i], block["cls"].to_numpy()[j]
+            return center[center != cls], cls[center != cls]
+
+        return compare
 
     def search(asked: pd.DataFrame, block: pd.DataFrame) -> tuple[np.ndarray, np.ndarray]:
         cls = block["cls"].to_numpy()
@@ -386,7 +429,9 @@ def _search(units: DataFrame, sets: Sets, percent: int) -> DataFrame:
         other, me = other[other != me], me[other != me]
         return np.maximum(other, me), np.minimum(other, me)
 
-    pairs = _by_unit(units, sets.sketches, F.octet_length("sketch"), compare, "center", "cls", GROUP)
+    likely = _by_unit(units, sets.sketches.select("cls", "n", "packed"), F.octet_length("packed") + 32, by("packed", near_packed), "center", "cls", GROUP)
+    pairs = _by_unit(_shared_units(likely), sets.sketches.select("cls", "n", "sketch"), F.octet_length("sketch"), by("sketch", near), "center", "cls", GROUP)
+    release(likely)
     named = pairs.select(F.explode(F.array("center", "cls")).alias("cls")).distinct()
     parts = sets.grams(named)
     if not parts:

@@ -744,3 +744,23 @@ def test_divide_skip_equals_counting():
     for s in sets:
         plain = [i for i, t in enumerate(sets) if 100 * len(np.intersect1d(s, t)) >= 85 * len(np.union1d(s, t))]
         assert sorted(index.search(s).tolist()) == plain
+
+
+@pytest.mark.parametrize("percent", [80, 85])
+def test_packed_histograms_lose_no_link_and_leave_few_pairs(percent):
+    rng = np.random.default_rng(percent)
+    sets = []
+    for n in [1, 3, 40, 400, 500, 520, 700, 1000, 1100, 2000, 2300, 5000, 9000] * 6:
+        s = rng.integers(0, 2**64, n, np.uint64)
+        # Its kin differ from it by just about what a link allows: shingles left out, changed, or repeated bins.
+        sets += [s, s[: -(-n * percent // 100)], np.append(s[: n - n * (100 - percent) // (100 + percent)], rng.integers(0, 2**64, n * (100 - percent) // (100 + percent), np.uint64))]
+    sets += [np.arange(0, 2048 * n, 2048).astype(np.uint64) for n in (600, 650, 30)]
+    sizes = np.array([len(s) for s in sets])
+    packs = [ngram_join.packed(s) for s in sets]
+    got = set(zip(*(x.tolist() for x in ngram_join.near_packed(packs, packs, sizes, sizes, percent)), strict=True))
+    held = [set(s.tolist()) for s in sets]
+    links = {(i, j) for i, a in enumerate(held) for j, b in enumerate(held) if 5 * min(len(a), len(b)) >= 3 * max(len(a), len(b)) and 100 * len(a & b) >= percent * len(a | b)}
+    assert links <= got and len(links) > 3 * len(sets) - 100
+    # The rest is small sets that a histogram cannot tell apart.
+    assert sum(min(len(held[i]), len(held[j])) > 3 for i, j in got - links) < 0.01 * len(sets) ** 2
+    assert all(4 * len(p) <= len(ngram_join.sketch(s)) for p, s in zip(packs, sets, strict=True))
